@@ -29,11 +29,11 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """(b, id, text) hash-partitioned on b, and the number of buckets."""
+def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int = BUCKET_BYTES, fold_case: bool = False) -> tuple[DataFrame, int]:
+    """(b, id, text) hash-partitioned on b, and the number of buckets; fold_case: rows that differ in case only share one."""
     n = max(1, math.ceil(text_bytes(docs, text_col) / bucket_bytes))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("id", F.lower("text") if fold_case else "text"), F.lit(n)).cast("int"))
     return rows.repartition(max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if n > 1 else 1, "b"), n
 
 
@@ -60,24 +60,67 @@ def distinct(hi: np.ndarray, lo: np.ndarray | None = None):
     return s[at], None if t is None else t[at], np.diff(np.append(at, len(s))) > 1, place
 
 
-def messages(b: int, hi: np.ndarray, lo: np.ndarray | None, multi: np.ndarray, n: int) -> pa.Table:
-    """One row for every owner that gets anything from this bucket."""
+def golomb(values: np.ndarray) -> bytes:
+    """Golomb code of sorted distinct 64-bit values: gaps' quotients in unary, remainders in binary.
+
+    Header: count (4 bytes), divisor (8), first value (8).  Quotients and
+    remainders lie in two streams, which numpy reads without a loop.
+    """
+    gaps = np.diff(values)
+    m = max(1, round(0.69 * (int(values[-1]) - int(values[0])) / max(1, len(gaps)))) if len(gaps) else 1
+    width = (m - 1).bit_length()
+    q = (gaps // np.uint64(m)).astype(np.int64)
+    r = gaps - q.astype(np.uint64) * np.uint64(m)
+    unary = np.zeros(int(q.sum()) + len(q), np.uint8)
+    unary[np.cumsum(q + 1) - 1] = 1
+    rest = np.unpackbits(r.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - width :] if len(r) else np.zeros(0, np.uint8)
+    head = len(values).to_bytes(4, "little") + m.to_bytes(8, "little") + values[:1].tobytes()
+    return head + np.packbits(unary).tobytes() + np.packbits(rest).tobytes()
+
+
+def ungolomb(code: bytes) -> tuple[np.ndarray, int]:
+    """The values, and the bytes used.  Inverse of golomb()."""
+    n, m = int.from_bytes(code[:4], "little"), int.from_bytes(code[4:12], "little")
+    first, width = np.frombuffer(code, np.uint64, 1, 12), (m - 1).bit_length()
+    if n == 1:
+        return first.copy(), 20
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(code, np.uint8, -1, 20)))[: n - 1]
+    q, used = np.diff(np.append(-1, ones)) - 1, 20 + -(-(int(ones[-1]) + 1) // 8)
+    size = -(-(n - 1) * width // 8)
+    bits = np.zeros((n - 1, 64), np.uint8)
+    if width:
+        bits[:, 64 - width :] = np.unpackbits(np.frombuffer(code, np.uint8, size, used), count=(n - 1) * width).reshape(n - 1, width)
+    r = np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    return np.append(first, first + np.cumsum(q.astype(np.uint64) * np.uint64(m) + r)), used + size
+
+
+def messages(b: int, hi: np.ndarray, lo: np.ndarray | None, multi: np.ndarray, n: int, coded: bool = False) -> pa.Table:
+    """One row for every owner that gets anything from this bucket; coded: 64-bit hashes, Golomb-coded."""
     cuts = owner_cuts(hi, n)
     owners = np.flatnonzero(np.diff(cuts))
     body = []
     for o in owners:
         a, z = cuts[o], cuts[o + 1]
+        if coded:
+            body.append(golomb(hi[a:z]) + np.packbits(multi[a:z]).tobytes())
+            continue
         body.append(hi[a:z].tobytes() + (b"" if lo is None else lo[a:z].tobytes()) + np.packbits(multi[a:z]).tobytes())
     return pa.table({"owner": pa.array(owners, pa.int32()), "b": pa.array(np.full(len(owners), b), pa.int32()), "payload": pa.array(body, pa.binary())})
 
 
-def answered(sent: DataFrame, wide: bool, level: int = 0) -> DataFrame:
-    """The owners' bitmaps, one for each message; wide: hashes have 128 bits."""
+def answered(sent: DataFrame, wide: bool, level: int = 0, coded: bool = False) -> DataFrame:
+    """The owners' bitmaps, one for each message; wide: hashes have 128 bits; coded: as in messages()."""
     width = 16 if wide else 8
 
     def owner(table):
         his, los, multis, counts = [], [], [], []
         for p in table.column("payload").to_pylist():
+            if coded:
+                h, used = ungolomb(p)
+                his.append(h)
+                counts.append(len(h))
+                multis.append(np.unpackbits(np.frombuffer(p, np.uint8, -1, used), count=len(h)))
+                continue
             k = len(p) * 8 // (8 * width + 1)
             his.append(np.frombuffer(p, np.uint64, k))
             if wide:

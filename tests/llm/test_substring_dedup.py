@@ -34,7 +34,7 @@ def check(spark, texts, window):
 def test_against_brute_force(spark, monkeypatch):
     from plansheet.llm import exchange
 
-    monkeypatch.setattr(exchange.bucketed, "__defaults__", (2000,))
+    monkeypatch.setattr(exchange.bucketed, "__defaults__", (2000, False))
     rng = random.Random(3)
     passage = [" ".join(rng.choice("abcdefghé") for _ in range(k)) for k in (5, 9, 35, 60)]
     texts = [None, "", " \t\n", "a", "a " * 200, "one two three"]
