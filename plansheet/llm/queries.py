@@ -22,7 +22,26 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op6_exact_dedup)}
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_docs(spark, sf_dir), _tokenizer(), capacity=2048, end_id=0).drop("ids")
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .materialise import materialise
+    from .shared import new_path
+
+    return materialise(_docs(spark, sf_dir), _tokenizer(), new_path(spark, "shards"), key=20240517).drop("shard_path")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op6_exact_dedup, op9_training_order)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
