@@ -30,6 +30,8 @@ from .tokens import encoder, vocabulary
 
 #: Tokens in a sequence, bytes in a shard, rounds of the permutation.
 SEQ_LEN, SHARD_BYTES, ROUNDS = 2048, 32 << 20, 6
+#: Input partitions whose first sequence numbers are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_PARTS = 1 << 18
 
 
 def _round_keys(key: int) -> np.ndarray:
@@ -152,15 +154,18 @@ def materialise(docs: DataFrame, tokenizer: str, out_dir: str, key: int = 0, id_
     _sequences(docs, content, id_col, text_col, seq_len, end_id, dtype).write.option("compression", "zstd").parquet(held)
     rows = spark.read.parquet(held)
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per input partition
-    n = parts.agg(F.sum("n")).first()[0] or 0
+    n, n_parts = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.join(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "part")
+    firsts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbered = rows.join(F.broadcast(firsts) if n_parts <= BROADCAST_PARTS else firsts, "part")
     columns = [*(c for c in rows.columns if c not in ("part", "nth")), "slot"]
 
     def to_slots(batches):
+        zstd = pa.Codec("zstd", 1)
         for batch in batches:
             at = slots(batch.column("first").to_numpy() + batch.column("nth").to_numpy(), n, key) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:-1]), pa.array(at)], columns)
+            packed = [zstd.compress(x.as_buffer(), asbytes=True) for x in batch.column("ids")]  # shuffled so
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) if c != "ids" else pa.array(packed, pa.binary()) for c in columns[:-1]), pa.array(at)], columns)
 
     dealt = numbered.mapInArrow(to_slots, T.StructType([rows.schema[c] for c in columns[:-1]] + [T.StructField("slot", T.LongType())]))
     dealt = dealt.withColumn("shard", F.floor(F.col("slot") / F.lit(per_shard)).cast("int"))
@@ -169,9 +174,9 @@ def materialise(docs: DataFrame, tokenizer: str, out_dir: str, key: int = 0, id_
         shard = shard[0].as_py()
         size = min(per_shard, n - shard * per_shard)
         block, at = np.full((size, seq_len), pad_id, dtype), table.column("slot").to_numpy() - shard * per_shard
-        for i, body in zip(at.tolist(), table.column("ids"), strict=True):
-            ids = np.frombuffer(body.as_buffer(), dtype)
-            block[i, : len(ids)] = ids
+        zstd = pa.Codec("zstd")
+        for i, k, body in zip(at.tolist(), table.column("n_tokens").to_pylist(), table.column("ids"), strict=True):
+            block[i, :k] = np.frombuffer(zstd.decompress(body.as_buffer(), k * block.itemsize), dtype)
         path = f"{base}/shard-{shard:08d}.bin"
         _put(path, block.tobytes())
         k = table.num_rows
