@@ -16,6 +16,26 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir), window=35).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _fold(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = _docs(spark, sf_dir)
+    model = language_id.fit(docs.filter(_fold(4) != 2))
+    return language_id.predict(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.filter(_fold(3) != 1), labels.filter(_fold(3) != 1))
+    return toxicity.score(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -41,7 +61,7 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(_docs(spark, sf_dir), _tokenizer(), new_path(spark, "shards"), key=20240517).drop("shard_path")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op6_exact_dedup, op9_training_order)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_toxicity, op6_exact_dedup, op9_training_order)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {

@@ -92,14 +92,24 @@ def blocks(off: np.ndarray, size: int = BLOCK):
         first = min(last, n)
 
 
-def words(texts, lower: bool = False, hashed: bool = True) -> Words:
-    """Split all texts into words, and hash each word."""
+#: Bytes of letters: A-Z, a-z, and all of characters beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def words(texts, lower: bool = False, hashed: bool = True, kind: np.ndarray | None = None, prefixes: tuple[int, ...] = ()) -> Words:
+    """Split all texts into words, and hash each word.
+
+    kind: the bytes that words consist of (else all but white space).  prefixes:
+    hash the first so many bytes of each word too (column 1 on of a matrix).
+    """
+    member = ~_SPACE if kind is None else kind
     data, off = raw(texts, lower)
     starts, ends, hashes, counts = [], [], [], [np.zeros(1, np.int64)]
     for a, b in blocks(off):
         lo, hi = int(off[a]), int(off[b])
         part, cuts = data[lo:hi], off[a : b + 1] - lo
-        inside = ~_SPACE[part]
+        inside = member[part]
         edge = np.empty(len(part) + 1, bool)
         edge[0] = edge[-1] = True
         np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
@@ -114,11 +124,12 @@ def words(texts, lower: bool = False, hashed: bool = True) -> Words:
             up, down = powers(_BYTE_STEP, len(part) + 1)
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_CODES[part] * up[: len(part)], out=sums[1:])
-            hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
+            cut = [mix((sums[z] - sums[s]) * down[s] + (z - s + salt).astype(np.uint64)) for z, salt in [(e, 0), *((np.minimum(s + k, e), 1000 + k) for k in prefixes)]]
+            hashes.append(np.stack(cut, 1) if prefixes else cut[0])
         starts.append(s + lo)
         ends.append(e + lo)
         counts.append(np.diff(np.searchsorted(s, cuts)))
-    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    cat = lambda x, t: np.concatenate(x) if x else np.zeros((0, 1 + len(prefixes)) if t is np.uint64 and prefixes else 0, t)
     return Words(data, off, cat(starts, np.int64), cat(ends, np.int64), np.cumsum(np.concatenate(counts)), cat(hashes, np.uint64) if hashed else None)
 
 
