@@ -115,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from docs (the learning rows only) and labels.
 
     About max_positive documents with label 1 and max_unlabelled others are
-    drawn by a hash of id and text (all, if there are fewer).  prior: the share
+    drawn by a hash of the id (all, if there are fewer; rows without an id are
+    not learnt from).  prior: the share
     of toxic documents among all but the known positives; if None, rows without
     a label are taken to be toxic as often as labelled ones.  It is kept within
     0.02 and 0.5.  Several labels for one id:
@@ -123,15 +124,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
-    rows = rows.join(known, "id", "left")
-    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count("toxic").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("positive")).first()
+    ids = rows.select("id", F.lit(True).alias("seen")).join(known, "id", "left")  # no text in this shuffle
+    n = ids.agg(F.count(F.lit(1)).alias("all"), F.count("toxic").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("positive")).first()
     if prior is None:
         share = n["positive"] / n["labelled"] if n["labelled"] else 0.05
         prior = share * (n["all"] - n["labelled"]) / max(1, n["all"] - n["positive"])
     prior = min(0.5, max(0.02, prior))
     is_positive = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    draw = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.filter(draw < F.when(is_positive, max_positive / max(1, n["positive"])).otherwise(max_unlabelled / max(1, n["all"] - n["positive"])))
+    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = ids.filter(draw < F.when(is_positive, max_positive / max(1, n["positive"])).otherwise(max_unlabelled / max(1, n["all"] - n["positive"])))
+    picked = picked.groupBy("id").agg(F.max(is_positive).alias("positive"))
+    chosen = rows.join(F.broadcast(picked), "id")  # max_positive + max_unlabelled ids in expectation, whatever the input
 
     def hashed(batches):
         for batch in batches:
@@ -141,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 sets = [np.unique(h[a:b]).tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["positive", "features"])
 
-    found = chosen.select(is_positive.alias("positive"), "text").mapInArrow(hashed, "positive boolean, features binary")
+    found = chosen.select("positive", "text").mapInArrow(hashed, "positive boolean, features binary")
     sets: dict[bool, list[bytes]] = {True: [], False: []}
     for r in found.toLocalIterator():
         sets[r["positive"]].append(bytes(r["features"]))
