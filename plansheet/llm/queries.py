@@ -61,7 +61,13 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(_docs(spark, sf_dir), _tokenizer(), new_path(spark, "shards"), key=20240517).drop("shard_path")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_toxicity, op6_exact_dedup, op9_training_order)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_toxicity, op6_exact_dedup, op9_training_order, op10_html_extraction)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
