@@ -108,8 +108,12 @@ def messages(b: int, hi: np.ndarray, lo: np.ndarray | None, multi: np.ndarray, n
     return pa.table({"owner": pa.array(owners, pa.int32()), "b": pa.array(np.full(len(owners), b), pa.int32()), "payload": pa.array(body, pa.binary())})
 
 
-def answered(sent: DataFrame, wide: bool, level: int = 0, coded: bool = False) -> DataFrame:
-    """The owners' bitmaps, one for each message; wide: hashes have 128 bits; coded: as in messages()."""
+def answered(sent: DataFrame, wide: bool, level: int = 0, coded: bool = False, counts_back: bool = False) -> DataFrame:
+    """The owners' bitmaps, one for each message; wide: hashes have 128 bits; coded: as in messages().
+
+    counts_back: instead of a bit, the number of buckets' entries of each hash
+    (32 bits, an entry held more than once counting twice).
+    """
     width = 16 if wide else 8
 
     def owner(table):
@@ -129,22 +133,22 @@ def answered(sent: DataFrame, wide: bool, level: int = 0, coded: bool = False) -
             counts.append(k)
         hi, lo, multi = np.concatenate(his), np.concatenate(los) if wide else None, np.concatenate(multis)
         _, _, twice, place = distinct(hi, lo)
-        twice |= np.bincount(place, multi, len(twice)) > 0
-        bits = np.split(twice[place], np.cumsum(counts)[:-1])
+        entries = np.bincount(place, multi + 1.0, len(twice))
+        bits = np.split((entries if counts_back else entries > 1)[place], np.cumsum(counts)[:-1])
         return pa.table({
             "b": table.column("b"), "owner": table.column("owner"),
             "level": pa.array(np.full(len(counts), level), pa.int32()),
-            "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary()),
+            "bits": pa.array([x.astype("<u4").tobytes() if counts_back else np.packbits(x).tobytes() for x in bits], pa.binary()),
         })
 
     return sent.groupBy("owner").applyInArrow(owner, ANSWER)
 
 
-def read_answer(answers: pa.Table, level: int, hi: np.ndarray, n: int) -> np.ndarray:
-    """For each of a bucket's sorted distinct hashes: does it occur at least twice overall?"""
-    cuts, out = owner_cuts(hi, n), np.zeros(len(hi), bool)
+def read_answer(answers: pa.Table, level: int, hi: np.ndarray, n: int, counts: bool = False) -> np.ndarray:
+    """For each of a bucket's sorted distinct hashes: does it occur at least twice overall? (counts: how often)"""
+    cuts, out = owner_cuts(hi, n), np.zeros(len(hi), np.int64 if counts else bool)
     for o, lv, bits in zip(*(answers.column(c).to_pylist() for c in ("owner", "level", "bits")), strict=True):
         if lv == level:
             a, z = cuts[o], cuts[o + 1]
-            out[a:z] = np.unpackbits(np.frombuffer(bits, np.uint8), count=z - a)
+            out[a:z] = np.frombuffer(bits, "<u4") if counts else np.unpackbits(np.frombuffer(bits, np.uint8), count=z - a)
     return out

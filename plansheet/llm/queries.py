@@ -54,6 +54,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), _tokenizer(), capacity=2048, end_id=0).drop("ids")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(_docs(spark, sf_dir), n=3, num=90, den=100)
+
+
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .materialise import materialise
     from .shared import new_path
@@ -67,7 +73,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_toxicity, op6_exact_dedup, op9_training_order, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_toxicity, op6_exact_dedup, op8_ngram_jaccard_join, op9_training_order, op10_html_extraction)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
