@@ -12,10 +12,11 @@ mix of thresholds minimises signatures plus expected chance agreements.
 Documents with equal sets form a class, and one of each class goes on.
 Signatures meet at hash owners (exchange.py), and only those that two classes
 share become rows.  A bucket of classes with one signature isn't expanded into
-pairs: all are verified exactly against the most central one, and links join
-components; a bucket whose classes are in one component is done.  Buckets left
-get a second leader, and what is left then is verified pair by pair between
-different components, so no link between different sets can be missed.
+pairs: all are verified exactly against the most central one, links join
+components, and a bucket whose classes are in one component is done.  Classes
+of the other buckets are compared group by group in blocks of bounded size,
+where a matrix product gives all intersections at once and one link for each
+two components is kept.  No link between different sets is missed.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from . import textcore as C
 
 #: Ratio of a band's largest to smallest size at least; assumed chance that a shingle of one set is in another one that has chance agreements; weight of such an agreement against a signature.
 BAND, CHANCE, WEIGHT = 1.4, 0.3, 200.0
-#: Rounds in which every unfinished bucket has one leader.
-LEADER_ROUNDS = 2
+#: Classes in a block, on average.
+BLOCK = 256
 
 _U = np.uint64
 
@@ -209,33 +210,74 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("c", "root")
 
 
+def _compare_blocks(num: int, den: int):
+    """A kernel that compares two blocks of classes (or one with itself): a link for each pair of roots that has any."""
+
+    def kernel(key, table):
+        p, q = key[1].as_py(), key[2].as_py()
+        block = table.column("block").to_numpy()
+        sides = [np.flatnonzero(block == p), np.flatnonzero(block == q)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pa.table({"a": pa.array([], pa.binary()), "z": pa.array([], pa.binary())})
+        members = [np.frombuffer(x.as_buffer(), _U) for x in table.column("members").combine_chunks()]
+        size = np.array([len(x) for x in members])
+        flat = [np.concatenate([members[i] for i in side]) for side in sides]
+        row = [np.repeat(np.arange(len(side)), size[side]) for side in sides]
+        if p == q:  # shingles of one set only can't be shared
+            values, count = np.unique(flat[0], return_counts=True)
+            common = values[count > 1]
+        else:
+            common = np.intersect1d(*flat)
+        both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+        at = [np.minimum(np.searchsorted(common, f), max(0, len(common) - 1)) for f in flat]
+        hit = [common[i] == f if len(common) else np.zeros(len(f), bool) for i, f in zip(at, flat, strict=True)]
+        order = [np.argsort(i[h], kind="stable") for i, h in zip(at, hit, strict=True)]
+        at, row = [i[h][o] for i, h, o in zip(at, hit, order, strict=True)], [r[h][o] for r, h, o in zip(row, hit, order, strict=True)]
+        for lo in range(0, len(common), 2048):
+            part = []
+            for i, r, side in zip(at, row, sides, strict=True):
+                x, z = np.searchsorted(i, [lo, lo + 2048])
+                m = np.zeros((len(side), 2048), np.float32)
+                m[r[x:z], i[x:z] - lo] = 1
+                part.append(m)
+            both += part[0] @ part[1].T
+        linked = den * both >= num * (size[sides[0]][:, None] + size[sides[1]][None, :] - both)
+        root, c = table.column("root").to_pylist(), table.column("c").to_pylist()
+        found = {}
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, z = sides[0][i], sides[1][j]
+            if root[x] != root[z]:
+                found.setdefault((min(root[x], root[z]), max(root[x], root[z])), (c[x], c[z]))
+        return pa.table({"a": pa.array([x for x, _ in found.values()], pa.binary()), "z": pa.array([z for _, z in found.values()], pa.binary())})
+
+    return kernel
+
+
 def linked_components(found: DataFrame, num: int, den: int) -> DataFrame:
     """(c, root) of all candidate classes that have a link."""
-    session = found.sparkSession
     spot = shared.cut(found.select("c", "n", "weight", F.explode("sigs").alias("s")))
-    links = session.createDataFrame([], "a binary, z binary")
-    roots = session.createDataFrame([], "c binary, root binary")
-    fits = lambda x, y: F.greatest(x, y) * num <= F.least(x, y) * den
-    open_spots = spot.withColumn("root", F.col("c"))
-    for _ in range(LEADER_ROUNDS):
-        leader = shared.cut(open_spots.groupBy("s").agg(F.max(F.struct("weight", "c", "n", "root")).alias("lead")))
-        pairs = open_spots.join(leader, "s").filter("root <> lead.root").filter(fits(F.col("n"), F.col("lead.n")))
-        pairs = pairs.select(F.col("c").alias("a"), F.col("lead.c").alias("z")).distinct()
-        new = shared.cut(_verified(pairs, found, num, den))
-        links = shared.cut(links.unionByName(new))
-        roots = components(links)
-        # a leader has met all others; a bucket in one component is done
-        left = open_spots.join(leader.select("s", F.col("lead.c").alias("lead")), "s").filter("c <> lead").select("c", "n", "weight", "s")
-        left = left.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-        left = shared.cut(left)
-        split = shared.cut(left.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("s"))
-        open_spots = shared.cut(left.join(split, "s", "left_semi"))
-        if not open_spots.limit(1).count():
-            return roots
-    x = open_spots.select("s", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = open_spots.select("s", F.col("c").alias("z"), F.col("n").alias("nz"), F.col("root").alias("rz"))
-    rest = x.join(y, "s").filter("a < z AND ra <> rz").filter(fits(F.col("na"), F.col("nz"))).select("a", "z").distinct()
-    return components(links.unionByName(shared.cut(_verified(rest, found, num, den))))
+    leader = shared.cut(spot.groupBy("s").agg(F.max(F.struct("weight", "c", "n")).alias("lead")))
+    met = spot.join(leader, "s").filter("c <> lead.c").filter(F.greatest("n", "lead.n") * num <= F.least("n", "lead.n") * den)
+    links = shared.cut(_verified(met.select(F.col("c").alias("a"), F.col("lead.c").alias("z")).distinct(), found, num, den))
+    roots = components(links)
+
+    # the leader has met all others; of what is left, buckets in one component are done
+    left = spot.join(leader.select("s", F.col("lead.c").alias("lead")), "s").filter("c <> lead").select("c", "s")
+    left = shared.cut(left.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
+    split = shared.cut(left.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("c").alias("first")).filter("low <> high").select("s", "first"))
+    undone = left.join(split, "s").select(F.col("c").alias("a"), F.col("first").alias("z"), "root")
+    undone = shared.cut(undone.groupBy("a", "z").agg(F.first("root").alias("root")))
+    if not undone.limit(1).count():
+        return roots
+    # classes that buckets connect form groups; a group is compared in pairs of bounded blocks
+    group = components(undone.filter("a <> z").select("a", "z"))
+    size = group.groupBy(F.col("root").alias("group")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = undone.groupBy(F.col("a").alias("c")).agg(F.first("root").alias("root")).join(group.select("c", F.col("root").alias("group")), "c").join(size, "group")
+    rows = rows.join(found.select("c", "members"), "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "c", "root", "members")
+    more = shared.cut(rows.groupBy("group", "p", "q").applyInArrow(_compare_blocks(num, den), "a binary, z binary"))
+    return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
