@@ -12,8 +12,9 @@ mix of thresholds minimises signatures plus expected chance agreements.
 Documents with equal sets form a class, and one of each class goes on.
 Signatures meet at hash owners (exchange.py), and only those that two classes
 share become rows.  A bucket of classes with one signature isn't expanded into
-pairs: all are verified exactly against the most central one, links join
-components, and a bucket whose classes are in one component is done.  Classes
+pairs: every class is verified exactly against the most central class that it
+shares one with, links join components, and a bucket whose classes are in one
+component is done.  Classes
 of the other buckets are compared group by group in blocks of bounded size,
 where a matrix product gives all intersections at once and one link for each
 two components is kept.  No link between different sets is missed.
@@ -258,12 +259,12 @@ def linked_components(found: DataFrame, num: int, den: int) -> DataFrame:
     spot = shared.cut(found.select("c", "n", "weight", F.explode("sigs").alias("s")))
     leader = shared.cut(spot.groupBy("s").agg(F.max(F.struct("weight", "c", "n")).alias("lead")))
     met = spot.join(leader, "s").filter("c <> lead.c").filter(F.greatest("n", "lead.n") * num <= F.least("n", "lead.n") * den)
-    links = shared.cut(_verified(met.select(F.col("c").alias("a"), F.col("lead.c").alias("z")).distinct(), found, num, den))
+    met = met.groupBy(F.col("c").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.c").alias("z"))
+    links = shared.cut(_verified(met, found, num, den))
     roots = components(links)
 
-    # the leader has met all others; of what is left, buckets in one component are done
-    left = spot.join(leader.select("s", F.col("lead.c").alias("lead")), "s").filter("c <> lead").select("c", "s")
-    left = shared.cut(left.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
+    # buckets in one component are done
+    left = shared.cut(spot.select("c", "s").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
     split = shared.cut(left.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("c").alias("first")).filter("low <> high").select("s", "first"))
     undone = left.join(split, "s").select(F.col("c").alias("a"), F.col("first").alias("z"), "root")
     undone = shared.cut(undone.groupBy("a", "z").agg(F.first("root").alias("root")))
