@@ -36,13 +36,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
     return exact_groups(_docs(spark, sf_dir))
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -51,7 +57,7 @@ def _tokenizer() -> str:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_docs(spark, sf_dir), _tokenizer(), capacity=2048, end_id=0).drop("ids")
+    return pack(_docs(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=0).drop("ids")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,7 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .materialise import materialise
     from .shared import new_path
 
-    return materialise(_docs(spark, sf_dir), _tokenizer(), new_path(spark, "shards"), key=20240517).drop("shard_path")
+    return materialise(_docs(spark, sf_dir), tokenizer_path(), new_path(spark, "shards"), key=20240517).drop("shard_path")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_toxicity, op6_exact_dedup, op7_lm_scoring, op8_ngram_jaccard_join, op9_training_order, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_toxicity, op5_decontamination, op6_exact_dedup, op7_lm_scoring, op8_ngram_jaccard_join, op9_training_order, op10_html_extraction)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
