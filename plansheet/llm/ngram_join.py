@@ -5,9 +5,10 @@ differ in at most k = (den-num)/(den+num) * (sum of sizes) shingles.  Sizes fall
 into bands; in a band the universe of shingles is cut by hash into segments
 with thresholds 0 (contents must be equal) or 1 (equal up to one shingle, found
 by indexing contents and all one-deletions).  With thresholds t, sum(t+1) = k+1
-would do; SPARE more make sure that linked sets also agree in a segment that
-isn't empty, and a set with too many empty segments indexes those as well.  The
-mix of thresholds minimises signatures plus expected chance agreements.
+would do; a quarter more make sure that linked sets agree in many segments that
+aren't empty, so that a set which shares fewer signatures than that in a band
+is dropped there; a set with too many empty segments indexes those as well and
+is kept for one shared signature.  The mix of thresholds minimises signatures plus expected chance agreements.
 
 Documents with equal sets form a class, and one of each class goes on.
 Signatures meet at hash owners (exchange.py), and only those that two classes
@@ -56,7 +57,7 @@ def bands(num: int, den: int) -> list[tuple[int, int, int, int, int, int]]:
 
 def allocate(k: int, size: float) -> tuple[int, int, int]:
     """The cheapest numbers of segments with threshold 0 and 1, and the spare, for sets of that size."""
-    spare = 1 + (k + 1) // 50
+    spare = 1 + (k + 1) // 4
     best = None
     for one in {0, 1, 2, (k + 1) // 4, (k + 1 + spare) // 2}:
         zero = k + 1 + spare - 2 * one
@@ -68,8 +69,8 @@ def allocate(k: int, size: float) -> tuple[int, int, int]:
     return best[1], best[2], spare
 
 
-def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Distinct signatures of one set of shingle hashes."""
+def signatures(h: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
+    """Distinct signatures of one set of shingle hashes in each of its bands, and how many of them a linked set of that band shares at least."""
     out = []
     table = bands(num, den)
     own = next(i for i, b in enumerate(table) if b[0] <= len(h) <= b[1])
@@ -90,12 +91,14 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
         weak = int((count[:zero] == 0).sum() + 2 * (count[zero:] == 0).sum() + (count[zero:] == 1).sum())
         if weak > spare:
             keep[:] = True
-        out.append(full[keep])
+        found, need = full[keep], max(1, spare + 1 - weak)
         if one:
             at = seg >= zero
             at &= (count[seg] > 1) | (weak > spare)
-            out.append(C.mix((sums[seg[at]] - value[at]) ^ salt[seg[at]]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
+            found = np.concatenate([found, C.mix((sums[seg[at]] - value[at]) ^ salt[seg[at]])])
+            need = -(-need // 2)  # a segment with threshold 1 stands for two
+        out.append((np.unique(found), need if weak <= spare else 1))
+    return out
 
 
 def shingle_sets(texts, n: int) -> list[np.ndarray]:
@@ -125,7 +128,7 @@ def _classes_and_sets(texts, n: int, wanted: set[bytes]) -> dict[bytes, np.ndarr
 
 def _all_signatures(found: dict[bytes, np.ndarray], num: int, den: int):
     each = [signatures(h, num, den) for h in found.values()]
-    return each, np.concatenate(each) if each else np.zeros(0, _U)
+    return each, np.concatenate([np.zeros(0, _U), *(sigs for bands_ in each for sigs, _ in bands_)])
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, n: int):
@@ -159,11 +162,16 @@ def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int,
         hi, _, _, place = X.distinct(all_sigs)
         count = X.read_answer(right, 0, hi, buckets, counts=True)[place]
         out, at = [], 0
-        for (c, h), sigs in zip(found.items(), each, strict=True):
-            k = count[at : at + len(sigs)]
-            at += len(sigs)
-            if (k > 1).any():
-                out.append((c, len(h), h.tobytes(), sigs[k > 1].view(np.int64).tolist(), int(k[k > 1].sum())))
+        for (c, h), of_bands in zip(found.items(), each, strict=True):
+            kept, weight = [], 0
+            for sigs, need in of_bands:
+                k = count[at : at + len(sigs)]
+                at += len(sigs)
+                if (k > 1).sum() >= need:
+                    kept += sigs[k > 1].view(np.int64).tolist()
+                    weight += int(k[k > 1].sum())
+            if kept:
+                out.append((c, len(h), h.tobytes(), kept, weight))
         columns = list(zip(*out, strict=True)) or [()] * 5
         return pa.table({x: pa.array(v, t) for x, v, t in zip(("c", "n", "members", "sigs", "weight"), columns, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)})
 
