@@ -36,7 +36,7 @@ from . import shared
 from . import textcore as C
 
 #: Ratio of a band's largest to smallest size at least; assumed chance that a shingle of one set is in another one that has chance agreements; weight of such an agreement against a signature.
-BAND, CHANCE, WEIGHT = 1.4, 0.3, 200.0
+BAND, CHANCE, WEIGHT = 1.4, 0.3, 5.0
 #: Classes in a block, on average.
 BLOCK = 256
 
@@ -154,7 +154,7 @@ def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int,
     def send(key, table, right):
         _, all_sigs = _all_signatures(_classes_and_sets(table.column("text"), n, wanted(right)), num, den)
         hi, _, multi, _ = X.distinct(all_sigs)
-        return X.messages(key[0].as_py(), hi, None, multi, buckets)
+        return X.messages(key[0].as_py(), hi, None, multi, buckets, coded=True)
 
     def keep(table, right):
         found = _classes_and_sets(table.column("text"), n, wanted(right))
@@ -176,7 +176,7 @@ def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int,
         return pa.table({x: pa.array(v, t) for x, v, t in zip(("c", "n", "members", "sigs", "weight"), columns, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)})
 
     by = rows.groupBy("b")
-    answers = X.answered(by.cogroup(assigned.groupBy("b")).applyInArrow(send, X.MESSAGE), False, counts_back=True)
+    answers = X.answered(by.cogroup(assigned.groupBy("b")).applyInArrow(send, X.MESSAGE), False, coded=True, counts_back=True)
     both = answers.unionByName(assigned)
     return shared.cut(by.cogroup(both.groupBy("b")).applyInArrow(keep, "c binary, n long, members binary, sigs array<long>, weight long"))
 
