@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import textcore as C
 
 #: Documents learnt from in expectation (positives, unlabelled), and features kept.
-MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 3000, 9000, 1024
+MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 2000, 5000, 1024
 #: Share of the positives that must hold a feature (5 documents at least).
 MIN_SHARE = 0.005
 #: Mini-batches of about 3000 unlabelled documents.
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in found.toLocalIterator():
         sets[r["positive"]].append(bytes(r["features"]))
     as_sets = lambda x: [np.frombuffer(b, np.uint64) for b in sorted(x)]
-    return train(as_sets(sets[True]), as_sets(sets[False]), prior)
+    model = train(as_sets(sets.pop(True)), as_sets(sets.pop(False)), prior)
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
