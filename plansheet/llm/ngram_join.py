@@ -37,6 +37,8 @@ from . import textcore as C
 
 #: Ratio of a band's largest to smallest size at least; assumed chance that a shingle of one set is in another one that has chance agreements; weight of such an agreement against a signature.
 BAND, CHANCE, WEIGHT = 1.4, 0.3, 5.0
+#: Links that one task joins at most.
+SMALL_LINKS = 200_000
 #: Classes in a block, on average.
 BLOCK = 256
 
@@ -201,12 +203,34 @@ def _verified(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(a, "a").join(z, "z").select("a", "z", "of_a", "of_z").mapInArrow(compare, "a binary, z binary")
 
 
+def _union(batches):
+    """Components of the links of one task."""
+    parent: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for a, z in zip(batch.column("a").to_pylist(), batch.column("z").to_pylist(), strict=True):
+            a, z = top(a), top(z)
+            if a != z:
+                parent[max(a, z)] = min(a, z)
+    names = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([top(x) for x in names], pa.binary())], ["c", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(c, root) for every end of a link: root is the smallest name in its component.
 
-    Labels spread to neighbours and then jump to their labels' labels, so the
-    rounds grow as the logarithm of the longest path.
+    Up to SMALL_LINKS links (counted, 32 bytes each) are joined by one task.
+    Beyond that, labels spread to neighbours and then jump to their labels'
+    labels, so the rounds grow as the logarithm of the longest path.
     """
+    if links.limit(SMALL_LINKS + 1).count() <= SMALL_LINKS:
+        return shared.cut(links.select("a", "z").repartition(1).mapInArrow(_union, "c binary, root binary"))
     both = shared.cut(links.select("a", "z").unionByName(links.select(F.col("z").alias("a"), F.col("a").alias("z"))).distinct())
     labels = shared.cut(both.groupBy("a").agg(F.least(F.min("z"), F.first("a")).alias("root")).withColumnRenamed("a", "c"))
     while True:

@@ -90,7 +90,9 @@ def test_components(spark, monkeypatch, n, num):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, n, num, 100)
 
 
-def test_long_paths_and_empty_table(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_long_paths_and_empty_table(spark, monkeypatch, small):
+    monkeypatch.setattr(J, "SMALL_LINKS", small)
     pairs = [(f"{i:03}".encode(), f"{i + 1:03}".encode()) for i in range(40)] + [(b"x", b"y")]
     got = J.components(spark.createDataFrame(pairs, "a binary, z binary")).collect()
     assert {bytes(r.root) for r in got if bytes(r.c) < b"x"} == {b"000"} and len(got) == 43
