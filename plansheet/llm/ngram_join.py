@@ -37,6 +37,8 @@ from . import textcore as C
 
 #: Ratio of a band's largest to smallest size at least; assumed chance that a shingle of one set is in another one that has chance agreements; weight of such an agreement against a signature.
 BAND, CHANCE, WEIGHT = 1.4, 0.3, 5.0
+#: Rows of (class, component) that are broadcast at most (32 bytes each).
+BROADCAST_ROWS = 100_000
 #: Links that one task joins at most.
 SMALL_LINKS = 200_000
 #: Classes in a block, on average.
@@ -296,7 +298,8 @@ def linked_components(found: DataFrame, num: int, den: int) -> DataFrame:
     roots = components(links)
 
     # buckets in one component are done
-    left = shared.cut(spot.select("c", "s").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
+    few = roots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    left = shared.cut(spot.select("c", "s").join(F.broadcast(roots) if few else roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
     split = shared.cut(left.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("c").alias("first")).filter("low <> high").select("s", "first"))
     undone = left.join(split, "s").select(F.col("c").alias("a"), F.col("first").alias("z"), "root")
     undone = shared.cut(undone.groupBy("a", "z").agg(F.first("root").alias("root")))
