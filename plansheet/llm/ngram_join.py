@@ -144,7 +144,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int):
         return pa.table({"b": table.column("b"), "id": table.column("id"), "n_shingles": pa.array([len(h) for h in sets], pa.int64()), "c": pa.array([_class(h) for h in sets], pa.binary())})
 
     schema = T.StructType([T.StructField("b", T.IntegerType()), rows.schema["id"], T.StructField("n_shingles", T.LongType()), T.StructField("c", T.BinaryType())])
-    return rows, buckets, shared.cut(rows.groupBy("b").applyInArrow(name, schema))
+    return rows, buckets, shared.table(rows.groupBy("b").applyInArrow(name, schema))
 
 
 def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -182,7 +182,7 @@ def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int,
     by = rows.groupBy("b")
     answers = X.answered(by.cogroup(assigned.groupBy("b")).applyInArrow(send, X.MESSAGE), False, coded=True, counts_back=True)
     both = answers.unionByName(assigned)
-    return shared.cut(by.cogroup(both.groupBy("b")).applyInArrow(keep, "c binary, n long, members binary, sigs array<long>, weight long"))
+    return by.cogroup(both.groupBy("b")).applyInArrow(keep, "c binary, n long, members binary, sigs array<long>, weight long")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
@@ -232,14 +232,19 @@ def components(links: DataFrame) -> DataFrame:
     labels, so the rounds grow as the logarithm of the longest path.
     """
     if links.limit(SMALL_LINKS + 1).count() <= SMALL_LINKS:
-        return shared.cut(links.select("a", "z").repartition(1).mapInArrow(_union, "c binary, root binary"))
-    both = shared.cut(links.select("a", "z").unionByName(links.select(F.col("z").alias("a"), F.col("a").alias("z"))).distinct())
-    labels = shared.cut(both.groupBy("a").agg(F.least(F.min("z"), F.first("a")).alias("root")).withColumnRenamed("a", "c"))
+        return shared.table(links.select("a", "z").repartition(1).mapInArrow(_union, "c binary, root binary"))
+    with shared.scratch(links.sparkSession) as cut:
+        return shared.table(_spread(links, cut))
+
+
+def _spread(links: DataFrame, cut) -> DataFrame:
+    both = cut(links.select("a", "z").unionByName(links.select(F.col("z").alias("a"), F.col("a").alias("z"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("z"), F.first("a")).alias("root")).withColumnRenamed("a", "c"))
     while True:
         heard = both.join(labels.withColumnRenamed("c", "z"), "z").groupBy("a").agg(F.min("root").alias("heard")).withColumnRenamed("a", "c")
         spread = labels.join(heard, "c").select("c", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
         jump = labels.select(F.col("c").alias("root"), F.col("root").alias("next"))
-        new = shared.cut(spread.join(jump, "root", "left").select("c", "was", F.least("root", "next").alias("root")))
+        new = cut(spread.join(jump, "root", "left").select("c", "was", F.least("root", "next").alias("root")))
         if not new.filter("root <> was").limit(1).count():
             return new.select("c", "root")
         labels = new.select("c", "root")
@@ -288,21 +293,21 @@ def _compare_blocks(num: int, den: int):
     return kernel
 
 
-def linked_components(found: DataFrame, num: int, den: int) -> DataFrame:
+def linked_components(found: DataFrame, num: int, den: int, cut) -> DataFrame:
     """(c, root) of all candidate classes that have a link."""
-    spot = shared.cut(found.select("c", "n", "weight", F.explode("sigs").alias("s")))
-    leader = shared.cut(spot.groupBy("s").agg(F.max(F.struct("weight", "c", "n")).alias("lead")))
+    spot = cut(found.select("c", "n", "weight", F.explode("sigs").alias("s")))
+    leader = cut(spot.groupBy("s").agg(F.max(F.struct("weight", "c", "n")).alias("lead")))
     met = spot.join(leader, "s").filter("c <> lead.c").filter(F.greatest("n", "lead.n") * num <= F.least("n", "lead.n") * den)
     met = met.groupBy(F.col("c").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.c").alias("z"))
-    links = shared.cut(_verified(met, found, num, den))
+    links = cut(_verified(met, found, num, den))
     roots = components(links)
 
     # buckets in one component are done
     few = roots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    left = shared.cut(spot.select("c", "s").join(F.broadcast(roots) if few else roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
-    split = shared.cut(left.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("c").alias("first")).filter("low <> high").select("s", "first"))
+    left = cut(spot.select("c", "s").join(F.broadcast(roots) if few else roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
+    split = cut(left.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("c").alias("first")).filter("low <> high").select("s", "first"))
     undone = left.join(split, "s").select(F.col("c").alias("a"), F.col("first").alias("z"), "root")
-    undone = shared.cut(undone.groupBy("a", "z").agg(F.first("root").alias("root")))
+    undone = cut(undone.groupBy("a", "z").agg(F.first("root").alias("root")))
     if not undone.limit(1).count():
         return roots
     # classes that buckets connect form groups; a group is compared in pairs of bounded blocks
@@ -312,7 +317,7 @@ def linked_components(found: DataFrame, num: int, den: int) -> DataFrame:
     rows = rows.join(found.select("c", "members"), "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("group", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "c", "root", "members")
-    more = shared.cut(rows.groupBy("group", "p", "q").applyInArrow(_compare_blocks(num, den), "a binary, z binary"))
+    more = cut(rows.groupBy("group", "p", "q").applyInArrow(_compare_blocks(num, den), "a binary, z binary"))
     return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 
@@ -330,11 +335,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < num < den:
         raise ValueError("0 < num < den is needed")
     rows, buckets, info = classes(docs, id_col, text_col, n)
-    roots = linked_components(candidates(rows, buckets, info, n, num, den), num, den)
+    with shared.scratch(docs.sparkSession) as cut:
+        roots = linked_components(cut(candidates(rows, buckets, info, n, num, den)), num, den, cut)
     own = info.filter("n_shingles > 0").groupBy("c").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
     rooted = own.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("component_rows"))
-    named = shared.cut(rooted.select("c", "root").join(lows, "root").select("c", "component_id", "component_rows"))
+    named = shared.table(rooted.select("c", "root").join(lows, "root").select("c", "component_id", "component_rows"))
     full = info.filter("n_shingles > 0").join(named, "c").select("id", "n_shingles", "component_id", "component_rows")
     empty = info.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(1).cast("long").alias("component_rows"))
     return full.unionByName(empty).withColumnRenamed("id", id_col)

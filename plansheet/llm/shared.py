@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +35,28 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark delete shuffle files of plans that nobody holds any more, which it otherwise does when the driver's memory runs low."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The same rows read from a Parquet table in the shared folder: a lineage cut that is compressed and read by column."""
+    spark, schema = df.sparkSession, df.schema
+    release(spark)
+    path = path or new_path(spark, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A table() whose tables go when the block ends; what outlives it must be written by table() within."""
+    folder = new_path(spark, "scratch")
+    try:
+        yield lambda df: table(df, f"{folder}/{uuid.uuid4().hex[:12]}")
+    finally:
+        remove(spark, folder)
