@@ -247,3 +247,60 @@ def islands(spark, sf_dir):
 
     boxes = A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("drawing"), F.col("s_suppkey").alias("element_id"), F.array(F.col("s_acctbal"), F.lit(0.0), F.col("s_acctbal") + 5, F.lit(5.0)).alias("bbox"))
     return content_islands(boxes, 25.0)
+
+
+@query(f"WITH {_STATUS}, l AS (SELECT drawing, max(commit_seq) AS top FROM st GROUP BY drawing), fa AS (SELECT drawing, element_id, count(*) AS n, min(rank_value) AS low FROM (SELECT event_type AS drawing, user_id AS element_id, event_id AS rank_value FROM events) GROUP BY ALL) SELECT drawing, element_id, commit_seq, status, CAST(commit_seq = top AND status <> 'deleted' AS INTEGER) AS is_current, CAST(commit_seq = top AND status = 'deleted' AS INTEGER) AS is_deleted_latest, CAST(coalesce(n, 0) AS INTEGER) AS facts, low AS first_fact FROM st JOIN l USING (drawing) LEFT JOIN fa USING (drawing, element_id)")
+def report_rows(spark, sf_dir):
+    from ..operators.report import report_rows
+
+    facts = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("drawing"), F.col("user_id").alias("element_id"), F.col("event_id").alias("fact_id"))
+    rows = report_rows(_status(spark, sf_dir), facts)
+    return rows.select("drawing", "element_id", "commit_seq", "status", F.col("is_current").cast("int").alias("is_current"), F.col("is_deleted_latest").cast("int").alias("is_deleted_latest"), F.size("facts").alias("facts"), F.get("facts", F.lit(0))["fact_id"].alias("first_fact"))
+
+
+_TREE = """p AS (SELECT l_linestatus AS a, l_returnflag AS b, CAST(l_linenumber AS VARCHAR) AS c, l_quantity > 49 AND l_linenumber = 3 AS hit FROM lineitem),
+nodes AS (SELECT a AS prefix, 1 AS depth, CAST(NULL AS VARCHAR) AS parent, a AS node, count(*) AS paths, count(*) FILTER (hit) AS hits FROM p GROUP BY ALL
+UNION ALL SELECT a || '>' || b, 2, a, b, count(*), count(*) FILTER (hit) FROM p GROUP BY a, b
+UNION ALL SELECT a || '>' || b || '>' || c, 3, a || '>' || b, c, count(*), count(*) FILTER (hit) FROM p GROUP BY a, b, c)"""
+
+
+def _forest(spark, sf_dir):
+    from ..operators import tree
+
+    li = A.table(spark, sf_dir, "lineitem").select(F.array("l_linestatus", "l_returnflag", F.col("l_linenumber").cast("string")).alias("path"), "l_quantity", "l_linenumber")
+    return tree.forest(li, (F.col("l_quantity") > 49) & (F.col("l_linenumber") == 3))
+
+
+@query(f"WITH {_TREE} SELECT prefix, depth, node, paths, hits FROM nodes")
+def forest(spark, sf_dir):
+    return _forest(spark, sf_dir).withColumn("prefix", F.array_join("prefix", ">"))
+
+
+@query(f"WITH {_TREE} SELECT n.prefix, n.depth, n.node, n.paths, n.hits, (SELECT count(*) FROM nodes c WHERE c.parent = n.prefix AND c.hits = 0) AS collapsed FROM nodes n WHERE hits > 0")
+def pruned_tree(spark, sf_dir):
+    from ..operators import tree
+
+    return tree.prune(_forest(spark, sf_dir)).withColumn("prefix", F.array_join("prefix", ">"))
+
+
+def _customers(spark, sf_dir):
+    return A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("drawing"), F.col("c_custkey").alias("point_id"), (F.col("c_acctbal") / 10).alias("x"), F.lit(0.5).alias("y"))
+
+
+@query("WITH d AS (SELECT c_nationkey AS drawing, c_custkey AS point_id, s_suppkey AS vertex_id, sqrt((s_acctbal / 10 - c_acctbal / 10) * (s_acctbal / 10 - c_acctbal / 10)) AS dist FROM customer JOIN supplier ON c_nationkey = s_nationkey) SELECT drawing, point_id, arg_min(vertex_id, row(round(dist, 6), -vertex_id)) AS vertex_id, round(min(dist), 6) AS dist FROM d WHERE dist <= 20 GROUP BY ALL")
+def snap_points(spark, sf_dir):
+    from ..operators.attribution import snap
+
+    v = A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("drawing"), F.col("s_suppkey").alias("vertex_id"), (F.col("s_acctbal") / 10).alias("tx"), F.lit(0.5).alias("ty"))
+    return snap(_customers(spark, sf_dir), v, 20.0).select("drawing", "point_id", "vertex_id", F.round("dist", 6).alias("dist"))
+
+
+@query("WITH c AS (SELECT c_nationkey AS drawing, c_custkey AS point_id, c_acctbal / 10 AS x FROM customer), r AS (SELECT s_nationkey AS drawing, s_suppkey AS region_id, s_acctbal / 10 AS lo, s_acctbal / 10 + 40 AS hi FROM supplier) SELECT c.drawing, point_id, min(region_id) AS region_id FROM c LEFT JOIN r ON c.drawing = r.drawing AND x >= lo - 0.5 AND x <= hi + 0.5 GROUP BY ALL")
+def region_of_point(spark, sf_dir):
+    from ..operators.attribution import regions_at
+
+    s = A.table(spark, sf_dir, "supplier")
+    corner = lambda dx, y: F.struct((F.col("s_acctbal") / 10 + dx).alias("x"), F.lit(float(y)).alias("y"))
+    poly = F.array(corner(0.0, 0), corner(40.0, 0), corner(40.0, 1), corner(0.0, 1))
+    r = s.select(F.col("s_nationkey").alias("drawing"), F.col("s_suppkey").alias("region_id"), poly.alias("poly"))
+    return regions_at(_customers(spark, sf_dir), r).select("drawing", "point_id", "region_id")

@@ -137,3 +137,27 @@ def test_drawing_files(spark, tmp_path):
     (d / "D-1.jsonl").write_text('{"element_id": "e1", "layer": "A", "geom": {"x": 1.5, "y": 2}}\n{broken\n')
     rows = files.read_states(spark, str(tmp_path / "state")).collect()
     assert [(r.element_id, r.drawing, r.project, r.geom.x) for r in rows] == [("e1", "proj/D-1", "proj", 1.5)]
+
+
+def test_dimensions_bind_to_regions(spark):
+    from plansheet.operators import attribution as T
+
+    box = lambda x0, x1: [{"x": float(x), "y": float(y)} for x, y in ((x0, 0), (x1, 0), (x1, 10), (x0, 10))]
+    regions = spark.createDataFrame([("d", 1, box(0, 10), "ply"), ("d", 2, box(20, 30), None), ("d", 3, box(40, 400), "brick")], "drawing string, region_id int, poly array<struct<x:double,y:double>>, material string")
+    ends = [("a", 1.0, 9.0), ("b", 1.0, 300.0), ("c", 21.0, 29.0), ("e", 5.0, 15.0), ("f", 5.0, 5.0), ("g", 900.0, 901.0)]
+    rows = [("d", k, i, x, 5.0, 8.0) for k, *xs in ends for i, x in enumerate(xs)]
+    got = {r.dim_id: r for r in T.attribute_dimensions(spark.createDataFrame(rows, "drawing string, dim_id string, end_no int, x double, y double, value double"), regions).collect()}
+    assert (got["a"].outcome, got["a"].region_id, got["a"].material, got["a"].confidence) == ("bound", 1, "ply", "medium")
+    assert got["b"].outcome == "assembly" and got["b"].material is None
+    assert [got[k].reason for k in "cefg"] == ["region without material", "one end outside", "fewer than two snapped ends", "no region"]
+    conf, conflict = T.leader_confidence(F.col("s"), F.col("t"))
+    said = spark.createDataFrame([(12.0, 12.5), (12.0, 20.0), (12.0, None), (None, 9.0), (None, None)], "s double, t double").select(conf.alias("c"), conflict.alias("x")).collect()
+    assert [tuple(r) for r in said] == [("high", False), ("low", True), ("high", False), ("medium", False), (None, False)]
+
+
+def test_pruned_tree_counts_unmatched_children(spark):
+    from plansheet.operators import tree
+
+    paths = spark.createDataFrame([(["a", "b"], True), (["a", "c"], False), (["a", "d"], None), (["z"], False), ([], True), (None, True)], "path array<string>, m boolean")
+    got = {tuple(r.prefix): (r.paths, r.hits, r.collapsed) for r in tree.prune(tree.forest(paths, F.col("m"))).collect()}
+    assert got == {("a",): (3, 1, 2), ("a", "b"): (1, 1, 0)}
