@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 #: Reach of a snap and of a region's boundary, and agreement of stated and measured thickness, in mm.
-SNAP, BOUNDARY, AGREE = 2.0, 0.5, 1.0
+SNAP, BOUNDARY, AGREE = 0.5, 0.5, 1.0
 
 
 def _cell(v: Column, width: float) -> Column:
