@@ -16,8 +16,8 @@ import pyarrow as pa
 _U = np.uint64
 _BYTE_STEP = _U(0x9E3779B97F4A7C15)
 _WORD_STEPS = (_U(0xD6E8FEB86659FD93), _U(0xC2B2AE3D27D4EB4F))
-#: Bytes hashed at a time; a longer document is hashed alone.
-BLOCK = 1 << 20
+#: Bytes (or words) hashed at a time; a longer document is hashed alone.
+BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -42,12 +42,12 @@ def powers(step: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """step**i and step**-i for i < n, modulo 2**64."""
     have = _powers.get(int(step))
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, BLOCK + 1024)
         inv = _U(pow(int(step), -1, 1 << 64))
         up, down = np.full(n, step), np.full(n, inv)
         up[0] = down[0] = 1
         have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n <= 1 << 22:
+        if n <= BLOCK + 1024:  # some 4 MB a step; longer tables aren't kept
             _powers[int(step)] = have
     return have[0][:n], have[1][:n]
 
@@ -138,11 +138,15 @@ def window_hashes(h: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     n = len(h) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    step = _WORD_STEPS[which]
-    up, down = powers(step, len(h))
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum((h if not which else mix(h + step)) * up[: len(h)], out=sums[1:])
-    return mix((sums[length:] - sums[:n]) * down[:n] + _U(length))
+    step, out = _WORD_STEPS[which], np.empty(n, np.uint64)
+    up, down = powers(step, min(len(h), BLOCK + length))
+    sums = np.zeros(len(up) + 1, np.uint64)
+    for lo in range(0, n, BLOCK):
+        part = h[lo : lo + BLOCK + length - 1]
+        k = len(part) - length + 1
+        np.cumsum((part if not which else mix(part + step)) * up[: len(part)], out=sums[1 : len(part) + 1])
+        out[lo : lo + k] = mix((sums[length : len(part) + 1] - sums[:k]) * down[:k] + _U(length))
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

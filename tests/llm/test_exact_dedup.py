@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plansheet.llm import exchange as X
+from plansheet.llm import exact_dedup as E
 from plansheet.llm.exact_dedup import exact_groups
 
 SCHEMA = "text string, doc_id long, b string, sha string, keep_id long"
@@ -28,7 +29,7 @@ def lower(t):
 
 
 def test_groups(spark, monkeypatch):
-    monkeypatch.setattr(X.bucketed, "__defaults__", (500, False))
+    monkeypatch.setattr(E, "LIST_ROWS", 7)
     texts = ["Abc é", "aBC é", "abc É", None, "", " ", "x" * 5000, "X" * 5000] + ["hot Copy"] * 50 + [f"t{i % 20}" for i in range(60)]
     rows = [(t, i, "", "", 0) for i, t in enumerate(texts)]
     rows += [("x" * 5000, 7, "", "", 0), ("alone", None, "", "", 0), ("alone", None, "", "", 0), ("hot Copy", None, "", "", 0)]
@@ -46,3 +47,13 @@ def test_groups(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert exact_groups(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_full_bit_table_lets_more_through_and_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(E, "BITS_LEAST", 8)
+    monkeypatch.setattr(E, "BITS_MOST", 8)
+    monkeypatch.setattr(E, "BIT_BLOCK", 8)
+    rows = [(f"t{i % 30}", i, "", "", 0) for i in range(45)] + [(f"u{i}", 100 + i, "", "", 0) for i in range(100)]
+    got = {r.doc_id: r for r in exact_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].group_size == (2 if i < 15 or 30 <= i < 45 else 1) for i in got)
+    assert all(got[i].keep_id == (i + 30 if i < 15 else i) for i in got)
