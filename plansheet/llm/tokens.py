@@ -42,33 +42,33 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     byte, vocab = _byte_chars(), model["vocab"]
     special = {t["content"] for t in spec.get("added_tokens", [])}
     made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-    if any(vocab.get(t) != 256 + i for i, t in enumerate(made)) or any(not t["special"] for t in spec.get("added_tokens", [])):
+    if any(vocab.get(t) != 256 + i for i, t in enumerate(made)) or any(not t["special"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
         return None
     return {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
 
 
 def encoder(content: bytes) -> Callable[[list[str]], list[np.ndarray]]:
-    """texts -> ids of each (uint32), strings of special tokens being ordinary text; made once for each worker."""
+    """texts -> ids of each (uint32), as the file gives them: a special token's string in a text is that token; made once for each worker."""
     key = hash(content)
     if key not in _made:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_str(content.decode())
-        slow.encode_special_tokens = True
 
         def plain(texts: list[str]) -> list[np.ndarray]:
             return [np.array(slow.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
 
-        made, ranks = plain, _ranks(json.loads(content))
+        spec = json.loads(content)
+        made, ranks = plain, _ranks(spec)
         if ranks:
             import tiktoken
 
-            fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec.get("added_tokens", [])})
 
             def quick(texts: list[str]) -> list[np.ndarray]:
-                return [np.array(fast.encode_ordinary(t), np.uint32) for t in texts]
+                return [np.array(fast.encode(t, allowed_special="all"), np.uint32) for t in texts]
 
             if all((a == b).all() if len(a) == len(b) else False for a, b in zip(plain(list(_PROBE)), quick(list(_PROBE)), strict=True)):
-                made = quick
+                made, slow = quick, None  # a worker keeps one of them
         _made[key] = made
     return _made[key]

@@ -19,11 +19,16 @@ SCHEMA = "text string, doc_id long, part int, ids string"
 @settings(max_examples=200, deadline=None)
 def test_ids_equal_the_librarys(texts):
     slow = Tokenizer.from_file(PATH)
-    slow.encode_special_tokens = True
     for t, got in zip(texts, encoder(vocabulary(PATH))(texts), strict=True):
         assert got.tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_strings_of_special_tokens_are_those_tokens():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|", " <|endoftext|>\n"]
+    slow = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in encoder(vocabulary(PATH))(texts)] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_other_vocabularies_run_in_their_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     assert encoder(vocabulary(path))(["Some words here"])[0].tolist() == Tokenizer.from_file(path).encode("Some words here", add_special_tokens=False).ids
