@@ -1,14 +1,16 @@
 """Removal of repeated word passages by level-wise doubling.
 
-Level 1 looks at runs of ceil(L/2) words, level 2 at runs of L words (twice
-that, less one word where L is odd).  Only what repeats at level 1 is extended:
-every L-run is represented by the smallest-hashed ceil(L/2)-run inside it, so
-two equal L-runs have equal representatives, and an L-run whose representative
-occurs once can't repeat.  About 2 in ceil(L/2)+1 runs are representatives, so
-level 1 moves about a tenth of the hashes, and level 2 only candidates.
-Doubling stops at L: a longer repeat consists of repeats of L words; with no
-candidates left, level 2 sends nothing.  Level 1 uses 64-bit hashes (a
-collision only makes a needless candidate), level 2 128-bit ones.
+The lengths looked at double from a few words up to L (9, 18 and 35 words for
+L = 35; a length is rounded up where L isn't a power of two times the first).
+At each length, only windows that repeat are extended to the next: an L-run is
+represented by the smallest-hashed window of that length inside it, so two
+equal L-runs have equal representatives at every length, and an L-run whose
+representative occurs at one place alone can't repeat and is given up.  Neighbouring
+L-runs mostly share their representative, so a level moves about a fourteenth
+of all window hashes and later ones only those of surviving candidates; where
+none survive, a level sends nothing.  Doubling stops at L: a longer repeat
+consists of repeats of L words.  Shorter levels use 64-bit hashes (a collision
+only makes a needless candidate), the last one 128-bit ones.
 """
 
 from __future__ import annotations
@@ -21,23 +23,28 @@ from pyspark.sql import types as T
 from . import exchange as X
 from . import textcore as C
 
-#: Words in a passage.
-WINDOW = 35
+#: Words in a passage, and least words of the first level.
+WINDOW, FIRST = 35, 9
 
 
-def _representatives(w: C.Words, window: int):
-    """Starts of all L-runs, the place of each one's representative, and the places' hashes."""
-    half = -(-window // 2)
-    starts = np.flatnonzero(w.left() >= window)
+def levels(window: int) -> list[int]:
+    """The doubling lengths, ascending; the last is the window."""
+    out = [window]
+    while out[0] > FIRST:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def _representatives(w: C.Words, starts: np.ndarray, length: int, window: int):
+    """Hashes of the starts' representatives (one for each place), and for each start the number of its own."""
     if not len(starts):
-        return starts, starts, np.zeros(0, np.uint64), starts
-    h = C.window_hashes(w.hash, half)
-    bits = max(20, int(len(h)).bit_length())
-    low = np.uint64((1 << bits) - 1)
+        return np.zeros(0, np.uint64), starts
+    h = C.window_hashes(w.hash, length)
+    low = np.uint64((1 << max(20, int(len(h)).bit_length())) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    at = (C.sliding_min(key, window - half + 1)[starts] & low).astype(np.int64)
+    at = (C.sliding_min(key, window - length + 1)[starts] & low).astype(np.int64)
     first = np.append(True, at[1:] != at[:-1])
-    return starts, at, h[at[first]], np.cumsum(first) - 1
+    return h[at[first]], np.cumsum(first) - 1
 
 
 def _wide(w: C.Words, starts: np.ndarray, window: int):
@@ -46,10 +53,14 @@ def _wide(w: C.Words, starts: np.ndarray, window: int):
     return C.window_hashes(w.hash, window)[starts], C.window_hashes(w.hash, window, 1)[starts]
 
 
-def _candidates(w: C.Words, answers: pa.Table, window: int, n: int) -> np.ndarray:
-    starts, _, reps, run = _representatives(w, window)
-    hi, _, _, place = X.distinct(reps)
-    return starts[X.read_answer(answers, 1, hi, n)[place][run]] if len(starts) else starts
+def _candidates(w: C.Words, answers: pa.Table | None, window: int, n: int, upto: int) -> np.ndarray:
+    """Starts of L-runs that survive so many levels."""
+    starts = np.flatnonzero(w.left() >= window)
+    for level, length in enumerate(levels(window)[:upto]):
+        reps, run = _representatives(w, starts, length, window)
+        hi, _, _, place = X.distinct(reps)
+        starts = starts[X.read_answer(answers, level, hi, None, n)[place][run]] if len(starts) else starts
+    return starts
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -64,22 +75,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 2:
         raise ValueError("window must be at least 2")
     rows, n = X.bucketed(docs, id_col, text_col)
+    n = X.owners(n)
     id_type = rows.schema["id"].dataType
 
-    def level1(key, table):
-        hi, _, multi, _ = X.distinct(_representatives(C.words(table.column("text")), window)[2])
-        return X.messages(key[0].as_py(), hi, None, multi, n)
+    lengths = levels(window)
+    last = len(lengths) - 1
 
-    def level2(key, table, answers):
-        w = C.words(table.column("text"))
-        hi, lo, multi, _ = X.distinct(*_wide(w, _candidates(w, answers, window, n), window))
-        return X.messages(key[0].as_py(), hi, lo, multi, n)
+    def level_kernel(level: int):
+        def send(key, table, answers=None):
+            w = C.words(table.column("text"))
+            starts = _candidates(w, answers, window, n, level)
+            if level == last:
+                hi, lo, multi, _ = X.distinct(*_wide(w, starts, window))
+            else:
+                hi, lo, multi, _ = X.distinct(_representatives(w, starts, lengths[level], window)[0])
+            return X.messages(key[0].as_py(), hi, lo, multi, n)
+
+        # the number of parameters tells whether answers come along
+        return send if level else lambda key, table: send(key, table)
 
     def remove(table, answers):
         w = C.words(table.column("text"))
-        starts = _candidates(w, answers, window, n)
+        starts = _candidates(w, answers, window, n, last)
         hi, lo, _, place = X.distinct(*_wide(w, starts, window))
-        starts = starts[X.read_answer(answers, 2, hi, n)[place]]
+        starts = starts[X.read_answer(answers, last, hi, lo, n)[place]]
         edge = np.zeros(len(w.start) + 1, np.int64)
         edge[starts] += 1
         edge[starts + window] -= 1
@@ -99,9 +118,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "kept_text": pa.array(C.joined(w, ~gone), pa.binary()).cast(pa.string()), "spans": pa.ListArray.from_arrays(pa.array(per_doc, pa.int32()), pair),
         })
 
-    answers1 = X.answered(rows.groupBy("b").applyInArrow(level1, X.MESSAGE), False, 1)
-    sent2 = rows.groupBy("b").cogroup(answers1.groupBy("b")).applyInArrow(level2, X.MESSAGE)
-    both = answers1.unionByName(X.answered(sent2, True, 2))
+    answers = None
+    for level in range(last + 1):
+        by = rows.groupBy("b")
+        sent = (by.cogroup(answers.groupBy("b")) if level else by).applyInArrow(level_kernel(level), X.MESSAGE)
+        got = X.answered(sent, level == last, n, level)
+        answers = answers.unionByName(got) if level else got
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(span))])
-    return rows.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(remove, schema).withColumnRenamed("id", id_col)
+    return rows.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(remove, schema).withColumnRenamed("id", id_col)

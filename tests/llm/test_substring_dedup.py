@@ -3,7 +3,10 @@ import random
 import re
 from collections import Counter
 
-from plansheet.llm.substring_dedup import remove_repeats
+import pytest
+
+from plansheet.llm import exchange as X
+from plansheet.llm.substring_dedup import levels, remove_repeats
 
 SCHEMA = "text string, doc_id long, b string, owner string"
 
@@ -31,10 +34,10 @@ def check(spark, texts, window):
         assert sum(s.end - s.start for s in r.spans) == gone
 
 
-def test_against_brute_force(spark, monkeypatch):
-    from plansheet.llm import exchange
-
-    monkeypatch.setattr(exchange.bucketed, "__defaults__", (2000, False))
+@pytest.mark.parametrize("packed", [X.PACKED, 0])
+def test_against_brute_force(spark, monkeypatch, packed):
+    monkeypatch.setattr(X, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(X, "PACKED", packed)  # 0: hashes travel as rows
     rng = random.Random(3)
     passage = [" ".join(rng.choice("abcdefghé") for _ in range(k)) for k in (5, 9, 35, 60)]
     texts = [None, "", " \t\n", "a", "a " * 200, "one two three"]
@@ -43,7 +46,7 @@ def test_against_brute_force(spark, monkeypatch):
         t.insert(1, rng.choice(passage))
         texts.append(rng.choice([" ", "\n", "\x0b\t"]).join(t))
     texts += texts[-3:]
-    for window in (2, 5, 8, 35):
+    for window in (2, 8, 35) if packed else (35,):
         check(spark, texts, window)
 
 
@@ -51,6 +54,19 @@ def test_nonbreaking_space_is_no_separator(spark):
     check(spark, ["a b c d " * 30, "é" * 50 + " x"], 4)
 
 
+def test_lengths_double():
+    assert levels(35) == [9, 18, 35] and levels(72) == [9, 18, 36, 72] and levels(5) == [5]
+    assert all(b <= 2 * a for w in range(2, 300) for a, b in zip(levels(w), levels(w)[1:], strict=False))
+
+
+def test_repeated_rows_are_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(X, "BUCKET_BYTES", 100)
+    df = spark.createDataFrame([("a b c", None, "", "")] * 400, SCHEMA).repartition(4)
+    rows, n = X.bucketed(df, "doc_id", "text")
+    assert n > 4 and rows.select("b").distinct().count() > 1
+    assert all((r.n_words, r.n_removed) == (3, 3) for r in remove_repeats(df, window=2).collect())
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
