@@ -152,19 +152,21 @@ def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int,
     level = 9  # of rows that name the classes a bucket answers for
     assigned = info.filter("n_shingles > 0").groupBy("c").agg(F.min("b").alias("b")).select("b", F.lit(-1).alias("owner"), F.lit(level).alias("level"), F.col("c").alias("bits"))
 
+    owners = X.owners(buckets)
+
     def wanted(right):
         return {c for c, lv in zip(right.column("bits").to_pylist(), right.column("level").to_pylist(), strict=True) if lv == level}
 
     def send(key, table, right):
         _, all_sigs = _all_signatures(_classes_and_sets(table.column("text"), n, wanted(right)), num, den)
         hi, _, multi, _ = X.distinct(all_sigs)
-        return X.messages(key[0].as_py(), hi, None, multi, buckets, coded=True)
+        return X.messages(key[0].as_py(), hi, None, multi, owners, coded=True)
 
     def keep(table, right):
         found = _classes_and_sets(table.column("text"), n, wanted(right))
         each, all_sigs = _all_signatures(found, num, den)
         hi, _, _, place = X.distinct(all_sigs)
-        count = X.read_answer(right, 0, hi, buckets, counts=True)[place]
+        count = X.read_answer(right, 0, hi, None, owners, counts=True)[place]
         out, at = [], 0
         for (c, h), of_bands in zip(found.items(), each, strict=True):
             kept, weight = [], 0
@@ -180,7 +182,7 @@ def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int,
         return pa.table({x: pa.array(v, t) for x, v, t in zip(("c", "n", "members", "sigs", "weight"), columns, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)})
 
     by = rows.groupBy("b")
-    answers = X.answered(by.cogroup(assigned.groupBy("b")).applyInArrow(send, X.MESSAGE), False, coded=True, counts_back=True)
+    answers = X.answered(by.cogroup(assigned.groupBy("b")).applyInArrow(send, X.MESSAGE), False, owners, coded=True, counts_back=True)
     both = answers.unionByName(assigned)
     return by.cogroup(both.groupBy("b")).applyInArrow(keep, "c binary, n long, members binary, sigs array<long>, weight long")
 

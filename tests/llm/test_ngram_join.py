@@ -66,7 +66,7 @@ def test_one_deletion_neighbourhoods(monkeypatch):
 
 @pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
 def test_components(spark, monkeypatch, n, num):
-    monkeypatch.setattr(X.bucketed, "__defaults__", (16000, False))
+    monkeypatch.setattr(X, "BUCKET_BYTES", 16000)
     monkeypatch.setattr(J, "BLOCK", 3 if n == 5 else 256)
     rng = random.Random(n)
     vocab = ["".join(rng.choice("abcde") for _ in range(4)) for _ in range(300)]
