@@ -51,12 +51,34 @@ def test_copies_and_paraphrases_are_found_and_clean_text_is_left(spark):
 
 
 def test_recall_against_brute_force(spark):
+    """All passages against all items without any test before, on documents of the tables (their choice only bounds the test's time)."""
     d = "/root/testdata/sf0.01"
-    docs = queries._docs(spark, d).filter("n_chars < 6000").limit(400).select("doc_id", "text")
+    docs = queries._docs(spark, d)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
-    index = D.fit(docs.withColumnRenamed("doc_id", "id"), items)
-    texts = pa.array([r.text for r in docs.collect()])
-    all_pairs = {(k, i) for k, x in enumerate(D.search(index, texts, everything=True)) for i, _ in x}
-    found = {(k, i) for k, x in enumerate(D.search(index, texts)) for i, _ in x}
+    index = D.fit(D.survey(docs.select("text"), items), items)
+    texts = [r.text for r in docs.filter("n_chars < 3000").orderBy("doc_id").limit(250).collect()]
+    w = D._tokens(pa.array(texts))
+    all_pairs = {(k, i) for k, x in enumerate(D.search(index, w, everything=True)) for i, _ in x}
+    found = {(k, i) for k, x in enumerate(D.search(index, w)) for i, _ in x}
     print("pairs", len(all_pairs), "found", len(found))
     assert found <= all_pairs and len(found) >= 0.9 * len(all_pairs) > 0
+
+
+def test_a_pass_never_drops_words(spark):
+    """1,000 items of 40 words of their own, each copied into a document: more words than one pass holds."""
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(1000)]
+    assert [len(x) for x in D.passes(items, 1000, 16384)] == [409, 409, 182]
+    assert [len(x) for x in D.passes([(1, "a b c d"), (2, "a b"), (3, "e")], 10, 3)] == [1, 2]
+    docs = spark.createDataFrame([(f"before {t} after it", i) for i, t in items] + [("nothing of the kind", 5000)], "text string, doc_id long")
+    got = {r.doc_id: r.item_ids for r in D.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum(got[i] == [i] for i, _ in items) >= 900 and got[5000] == []
+
+
+def test_many_passes_and_scans_agree_with_one(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    docs, bench = queries._docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")
+    one = {r.doc_id: (r.contaminated, r.item_ids) for r in D.contamination(docs, bench).collect()}
+    monkeypatch.setattr(D, "ITEMS_PER_PASS", 9)
+    monkeypatch.setattr(D, "PASSES_PER_SCAN", 2)
+    many = {r.doc_id: (r.contaminated, r.item_ids) for r in D.contamination(docs, bench).collect()}
+    assert one.keys() == many.keys() and sum(one[k][0] != many[k][0] for k in one) <= 0.1 * sum(x for x, _ in one.values()) + 1
