@@ -58,6 +58,22 @@ def test_templates_are_removed_by_host_counts(spark):
     assert H.extract(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def bare_pages(n):
+    """Pages without an article element and without telling names; the menu is drawn from a set of three."""
+    menus = [["Home", "News"], ["Home", "Sport"], ["Start", "Culture"]]
+    for i in range(n):
+        menu = "".join(f'<li><a href="/{i}/{k}">{k}</a></li>' for k in menus[i % 3])
+        yield f"<div><ul>{menu}</ul></div><div><h2>Story {'abcdefghijkl'[i]}</h2><p>{'Some words. ' * (i + 1)}</p></div><section><p>Page {i} of {n}</p></section>", f"Story {'abcdefghijkl'[i]}\n{' '.join(['Some words.'] * (i + 1))}"
+
+
+def test_counting_carries_the_result_where_names_say_nothing(spark):
+    pages, want = zip(*bare_pages(9), strict=True)
+    df = spark.createDataFrame([(h, i, "https://few.example/x", 0, "") for i, h in enumerate(pages)], SCHEMA)
+    by = lambda **k: [r.text for r in sorted(H.extract(df, **k).collect(), key=lambda r: r.page_id)]
+    assert by() == list(want) == by(rules=False)
+    assert not any(a == b for a, b in zip(by(counting=False), want, strict=True))
+
+
 def test_query_against_a_plain_reading(spark):
     d = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in queries.QUERIES["op10_html_extraction"](spark, d).collect()}
