@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
 from . import textcore as C
 
 #: Longest context in bytes; documents per language learnt from at most in expectation; floats in the table of code lengths at most.
@@ -186,7 +187,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     Only id and text are read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: TABLE_FLOATS
+    held = shared.broadcast(docs.sparkSession, model)  # of bounded size: TABLE_FLOATS
 
     def run(batches):
         m = held.value

@@ -8,7 +8,9 @@ corrected risk
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
 by Adam on large mini-batches; where the bracket is negative on one, only the
-first term has a gradient.
+first term has a gradient.  Features are those that confirmed toxic documents
+hold much more often than all documents do, as counted over the whole table;
+the driver gets counts and the bits of sampled documents, no texts.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
 from . import textcore as C
 
-#: Documents learnt from in expectation (positives, unlabelled), and features kept.
-MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 2000, 5000, 1024
+#: Labelled positives, and other documents of the mini-batches, in expectation (how often a feature occurs is counted in all documents); features kept.
+MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 3000, 9000, 1024
 #: Share of the positives that must hold a feature (5 documents at least).
 MIN_SHARE = 0.005
 #: Mini-batches of about 3000 unlabelled documents.
@@ -61,33 +64,35 @@ def _present(features: np.ndarray, texts) -> np.ndarray:
     return out
 
 
+def telling(features: np.ndarray, in_positive: np.ndarray, positives: int, in_all: np.ndarray, documents: int, most: int = FEATURES) -> np.ndarray:
+    """Sorted features that positives hold much more often than documents at large."""
+    chance = max(1, positives) * in_all / max(1, documents)  # positives expected to hold the feature if it meant nothing
+    z = (in_positive - chance) / np.sqrt(chance + 1)
+    chosen = np.argsort(-z, kind="stable")[:most]
+    return np.sort(features[chosen[z[chosen] > 5]])
+
+
+def _frequent(count: np.ndarray, positives: int) -> np.ndarray:
+    return count >= max(5, MIN_SHARE * positives)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, seed: int = 5) -> Model:
     """Learn from documents given as sorted distinct feature hashes."""
     def count(docs):
         return np.unique(np.concatenate(docs), return_counts=True) if docs else (np.zeros(0, np.uint64), np.zeros(0, int))
 
-    # copies aren't independent evidence: of texts with equal smallest hashes, one is learnt from
-    positive, unlabelled = (list({bytes(d[:3]): d for d in docs}.values()) for docs in (positive, unlabelled))
     (fp, cp), (fu, cu) = count(positive), count(unlabelled)
-    keep = cp >= max(5, MIN_SHARE * len(positive))
+    keep = _frequent(cp, len(positive))
     fp, cp = fp[keep], cp[keep]
     at = np.minimum(np.searchsorted(fu, fp), max(0, len(fu) - 1))
     in_u = np.where(fu[at] == fp, cu[at], 0) if len(fu) and len(fp) else np.zeros(len(fp))
-    np_, nu = max(1, len(positive)), max(1, len(unlabelled))
-    chance = np_ * in_u / nu  # positives expected to hold the feature if it meant nothing
-    z = (cp - chance) / np.sqrt(chance + 1)
-    chosen = np.argsort(-z, kind="stable")[:features]
-    chosen = np.sort(fp[chosen[z[chosen] > 5]])
-
-    def matrix(docs):
-        x = np.zeros((len(docs), len(chosen)), np.float32)
-        for i, d in enumerate(docs):
-            p = np.minimum(np.searchsorted(chosen, d), max(0, len(chosen) - 1))
-            if len(chosen):
-                x[i, p[chosen[p] == d]] = 1
-        return x
-
-    xp, xu = matrix(positive), matrix(unlabelled)
+    chosen = telling(fp, cp, len(positive), in_u, len(unlabelled), features)
+    matrix = lambda docs: np.array([np.isin(chosen, d) for d in docs], np.float32).reshape(len(docs), len(chosen))
+    return learn(chosen, matrix(positive), matrix(unlabelled), prior, seed)
+
+
+def learn(chosen: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float, seed: int = 5) -> Model:
+    """Weights of the chosen features from 0/1 rows of positive and unlabelled documents."""
     w = np.zeros(len(chosen) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v, step, rng = np.zeros_like(w), np.zeros_like(w), 0, np.random.default_rng(seed)
@@ -116,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     About max_positive documents with label 1 and max_unlabelled others are
     drawn by a hash of the id (all, if there are fewer; rows without an id are
-    not learnt from).  prior: the share
+    not drawn); how often features occur at large is counted in all documents.  prior: the share
     of toxic documents among all but the known positives; if None, rows without
     a label are taken to be toxic as often as labelled ones.  It is kept within
     0.02 and 0.5.  Several labels for one id:
@@ -134,23 +139,61 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = ids.filter(draw < F.when(is_positive, max_positive / max(1, n["positive"])).otherwise(max_unlabelled / max(1, n["all"] - n["positive"])))
     picked = picked.groupBy("id").agg(F.max(is_positive).alias("positive"))
-    chosen = rows.join(F.broadcast(picked), "id")  # max_positive + max_unlabelled ids in expectation, whatever the input
-
-    def hashed(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                h, off = _features(part.column(1))
-                sets = [np.unique(h[a:b]).tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["positive", "features"])
-
-    found = chosen.select("positive", "text").mapInArrow(hashed, "positive boolean, features binary")
-    sets: dict[bool, list[bytes]] = {True: [], False: []}
-    for r in found.toLocalIterator():
-        sets[r["positive"]].append(bytes(r["features"]))
-    as_sets = lambda x: [np.frombuffer(b, np.uint64) for b in sorted(x)]
-    model = train(as_sets(sets.pop(True)), as_sets(sets.pop(False)), prior)
-    return model
+    sample = shared.table(rows.join(F.broadcast(picked), "id").select("positive", "text"))  # max_positive + max_unlabelled ids in expectation, whatever the input
+
+    def positives(batches):
+        """Features that enough of the positives hold, and how many do; copies aren't independent evidence, so equal feature sets count once."""
+        sets = {}
+        for part in _slices(batches):
+            h, off = _features(part.column(0))
+            for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                own = np.unique(h[a:z])
+                sets[own[:3].tobytes()] = own
+        f, c = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        keep = _frequent(c, len(sets))
+        yield pa.RecordBatch.from_arrays([pa.array([len(sets)], pa.int64()), pa.array([f[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], ["n", "features", "counts"])
+
+    # one task reads the sampled positives
+    found = sample.filter("positive").select("text").repartition(1).mapInArrow(positives, "n long, features binary, counts binary").collect()
+    empty = np.zeros(0, np.uint64)
+    features, in_positive = (np.concatenate([empty, *(np.frombuffer(r[c], np.uint64) for r in found)]) for c in ("features", "counts"))
+    held = shared.broadcast(docs.sparkSession, features)  # some 1 / MIN_SHARE times the features of a document
+
+    def count(batches):
+        features, total = held.value, np.zeros(len(held.value), np.int64)
+        for part in _slices(batches):
+            total += _present(features, part.column(0)).sum(0)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["k", "n"])
+
+    in_all = np.zeros(len(features), np.int64)
+    if len(features):
+        for r in rows.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each feature
+            in_all[r["k"]] = r["n"]
+    chosen = telling(features, in_positive.astype(np.int64), sum(r["n"] for r in found), in_all, n["all"])
+
+    def bits(batches):
+        for part in _slices(batches):
+            x = _present(chosen, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["positive", "bits"])
+
+    drawn: dict[bool, list[bytes]] = {True: [], False: []}
+    for r in sample.mapInArrow(bits, "positive boolean, bits binary").toLocalIterator():
+        drawn[r["positive"]].append(bytes(r["bits"]))
+
+    def matrix(rows: list[bytes]) -> np.ndarray:
+        if not rows or not len(chosen):
+            return np.zeros((len(rows), len(chosen)), np.float32)
+        packed = np.frombuffer(b"".join(sorted(rows)), np.uint8).reshape(len(rows), -1)
+        return np.unpackbits(packed, axis=1, count=len(chosen)).astype(np.float32)
+
+    return learn(chosen, matrix(drawn[True]), matrix(drawn[False]), prior)
+
+
+def _slices(batches, rows: int = 500):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -160,7 +203,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     that repeat are scored each.  Only id and text are read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES hashes and weights at most
+    held = shared.broadcast(docs.sparkSession, model)  # FEATURES hashes and weights at most
 
     def run(batches):
         m = held.value
@@ -177,7 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = shared.broadcast(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import duckdb
@@ -83,6 +85,25 @@ def test_positive_unlabelled_learning_finds_hidden_positives():
     assert rate(sets(toxic, 500)) > 0.95 and rate(sets(plain, 500)) < 0.02
 
 
+def test_toxicity_score_equals_a_plain_reading(spark):
+    """The registered query's score is the logistic of the weights of the words and word beginnings that a text holds."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = queries._docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")
+    m = toxicity.fit(docs.filter(queries._fold(3) != 1), labels.filter(queries._fold(3) != 1))
+    weight = dict(zip(m.features.tolist(), m.weights.tolist(), strict=True))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in queries.QUERIES["op4_toxicity"](spark, d).collect()}
+    for r in docs.filter(F.col("doc_id") % 5 == 0).collect():
+        held = set()
+        for word in re.findall(rb"[A-Za-z\x80-\xff]+", (r.text or "").encode()):
+            held |= {int(x) for x in toxicity._features(pa.array([word.decode()]))[0].reshape(-1)}
+        want = 1 / (1 + math.exp(-max(-40, min(40, m.bias + sum(weight.get(h, 0.0) for h in held)))))
+        assert math.isclose(got[r.doc_id][0], want, rel_tol=1e-9) and got[r.doc_id][1] == (want >= 0.7)
+        assert got[r.doc_id][2] == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert len(got) == docs.count()
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.QUERIES["op4_toxicity"](spark, d).toPandas()
