@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Words
 from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import history as H
@@ -65,7 +66,7 @@ def find_bound_value(spark, sf_dir):
     return S.find(facts, facts, ["drawing", "element_id"], material="economy", value=6.5, tolerance=3.5).select("drawing").distinct()
 
 
-@query(f"WITH {_F}, b AS (SELECT drawing, count(*) AS elements, count(*) FILTER (WHERE confidence <> 'low' AND (lower(material) = 'promo' OR value = 10)) AS matched, bool_or(confidence <> 'low' AND lower(material) = 'promo') AS a, bool_or(confidence <> 'low' AND value = 10) AS z FROM f GROUP BY drawing) SELECT drawing, elements, matched FROM b WHERE a AND z")
+@query(f"WITH {_F}, b AS (SELECT drawing, count(*) AS elements, count(*) FILTER (WHERE confidence <> 'low' AND (lower(material) = 'promo' OR value = 10 AND measure = 'thickness')) AS matched, bool_or(confidence <> 'low' AND lower(material) = 'promo') AS a, bool_or(confidence <> 'low' AND value = 10 AND measure = 'thickness') AS z FROM f GROUP BY drawing) SELECT drawing, elements, matched FROM b WHERE a AND z")
 def stacked_all_chips(spark, sf_dir):
     return S.stacked(A.facts(spark, sf_dir), [("material", "promo"), ("value", "10")])
 
@@ -115,13 +116,36 @@ def best_fact(spark, sf_dir):
     return S.best_fact(A.facts(spark, sf_dir), F.col("value") > 20)
 
 
-@query(f"WITH {_F}, e2 AS (SELECT drawing, element_id % 3 AS region, CASE element_id % 4 WHEN 0 THEN 'leader' WHEN 1 THEN 'dimension' WHEN 2 THEN 'geometry' ELSE 'extension_trace' END AS chain, value, confidence FROM f), b AS (SELECT drawing, region, arg_min(row(value, chain, confidence), row(CASE chain WHEN 'leader' THEN 2 WHEN 'dimension' THEN 3 WHEN 'extension_trace' THEN 4 ELSE 5 END, value)) AS x, coalesce(max(value) FILTER (chain <> 'geometry') - min(value) FILTER (chain <> 'geometry') > 5, false) AS c, bool_or(chain = 'leader') AS own, bool_or(chain = 'dimension') AS d, bool_or(chain = 'geometry') AS g FROM e2 GROUP BY ALL) SELECT drawing, region, x[1] AS value, x[2] AS chain, CASE WHEN c THEN 'low' WHEN own OR d AND g THEN 'high' ELSE x[3] END AS confidence, CAST(c AS INTEGER) AS conflict FROM b")
+_RECONCILE = f"""WITH {_F},
+e AS (SELECT drawing, CASE WHEN element_id % 5 = 0 THEN NULL ELSE 'r' || CAST(element_id % 2 AS VARCHAR) END AS region_id, CAST(element_id AS VARCHAR) AS element_id, part, value, confidence, measure, CAST(element_id AS INTEGER) AS ord,
+  CASE element_id % 4 WHEN 0 THEN 'leader' WHEN 1 THEN 'dimension' WHEN 2 THEN 'geometry' ELSE 'extension_trace' END AS chain, element_id % 4 = 0 AND value > 30 AS own, confidence = 'low' AND value > 45 AS conflict FROM f),
+e2 AS (SELECT *, CASE chain WHEN 'leader' THEN 2 WHEN 'dimension' THEN 3 WHEN 'extension_trace' THEN 4 ELSE 5 END AS rnk, chain IN ('dimension', 'extension_trace') AS dim, chain = 'geometry' AS geo FROM e),
+g AS (SELECT drawing, region_id, measure, CASE WHEN region_id IS NULL THEN element_id END AS alone,
+  arg_min(row(element_id, part, value, confidence, chain), row(rnk, ord)) AS b,
+  arg_min(row(element_id, part, value), ord) FILTER (own) AS o, arg_min(row(element_id, part, value), ord) FILTER (dim) AS d, arg_min(row(element_id, part, value), ord) FILTER (geo) AS x,
+  array_to_string(list_transform(list_sort(list(DISTINCT row(rnk, chain))), lambda c: c[2]), '+') AS chains,
+  array_to_string(list_transform(list_sort(list(DISTINCT row(rnk, chain)) FILTER (dim OR geo)), lambda c: c[2]), '+') AS measured,
+  bool_or(chain = 'leader') AS leader, bool_or(conflict) AS item_conflict, count(*) FILTER (own OR dim) AS n, max(value) FILTER (own OR dim) - min(value) FILTER (own OR dim) AS spread
+  FROM e2 GROUP BY ALL),
+w AS (SELECT *, CASE WHEN o IS NOT NULL THEN 'own' WHEN abs(d[3] - x[3]) <= 0.15 THEN 'dim' WHEN leader AND x IS NOT NULL THEN 'geo' ELSE 'base' END AS which, item_conflict OR coalesce(n > 1 AND spread > 5, false) AS clash FROM g)
+SELECT drawing, region_id, measure, CASE which WHEN 'own' THEN o[1] WHEN 'dim' THEN d[1] ELSE b[1] END AS element_id, CASE WHEN which = 'own' THEN coalesce(o[2], b[2]) ELSE b[2] END AS part,
+  CASE which WHEN 'own' THEN o[3] WHEN 'dim' THEN d[3] WHEN 'geo' THEN x[3] ELSE b[3] END AS value,
+  CASE which WHEN 'own' THEN chains WHEN 'dim' THEN CASE WHEN leader THEN 'leader+' ELSE '' END || measured WHEN 'geo' THEN 'leader+geometry' ELSE b[5] END AS chain,
+  CASE WHEN clash THEN 'low' WHEN o IS NOT NULL OR (d IS NOT NULL AND x IS NOT NULL) THEN 'high' ELSE b[4] END AS confidence, CAST(clash AS INTEGER) AS conflict FROM w"""
+
+
+@query(_RECONCILE)
 def reconcile_evidence(spark, sf_dir):
-    e = A.facts(spark, sf_dir)
-    kind = F.col("element_id") % 4
-    # equal chain and value with differing confidence can't occur twice here but for ties, which the least confidence name breaks
-    e = e.select("drawing", (F.col("element_id") % 3).alias("region"), F.when(kind == 0, "leader").when(kind == 1, "dimension").when(kind == 2, "geometry").otherwise("extension_trace").alias("chain"), "value", "confidence")
-    return S.reconcile(e, ["drawing", "region"], 5.0)
+    from ..operators.attribution import reconcile
+
+    f, n = A.facts(spark, sf_dir), F.col("element_id")
+    kind = F.when(n % 4 == 0, "leader").when(n % 4 == 1, "dimension").when(n % 4 == 2, "geometry").otherwise("extension_trace")
+    none = F.lit(None).cast("string")
+    e = f.select(
+        "drawing", n.cast("string").alias("element_id"), F.when(n % 5 != 0, F.concat(F.lit("r"), (n % 2).cast("string"))).alias("region_id"), F.lit("ply").alias("material"), "part", "value", F.lit("mm").alias("unit"), none.alias("qualifier"), "measure", "confidence",
+        kind.alias("chain"), ((F.col("confidence") == "low") & (F.col("value") > 45)).alias("conflict"), ((n % 4 == 0) & (F.col("value") > 30)).alias("leader_own_value"), F.lit(False).alias("review_needed"), none.alias("dim_uid"), n.cast("int").alias("ord"),
+    )
+    return reconcile(e, 5.0).select("drawing", "region_id", "measure", "element_id", "part", "value", "chain", "confidence", F.col("conflict").cast("int").alias("conflict"))
 
 
 @query("WITH p AS (SELECT c.c_nationkey AS drawing, CAST(o_custkey % 2 AS INTEGER) AS dx, CAST(o_orderkey % 2 AS INTEGER) AS dy FROM orders JOIN customer c ON c_custkey = o_custkey), b AS (SELECT drawing, dx, dy, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT drawing, arg_max(row(dx, dy, n), row(n, -dx, -dy)) AS m, CAST(sum(n) AS BIGINT) AS total FROM b GROUP BY drawing) SELECT drawing, m[1] AS dx, m[2] AS dy, m[3] AS n, total FROM t WHERE total >= 3 AND m[3] >= 0.26 * total AND NOT (m[1] = 0 AND m[2] = 0)")
@@ -133,12 +157,12 @@ def modal_offset(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT ancestor, node FROM cl")
 def vocab_closure(spark, sf_dir):
-    return V.closure(A.edges(spark, sf_dir), depth=3)
+    return A.closed(spark, sf_dir)
 
 
 @query(f"WITH {_E}, r AS (SELECT DISTINCT parent AS p FROM e WHERE parent NOT IN (SELECT child FROM e)) SELECT p AS node, p AS path FROM r UNION ALL SELECT child, parent || '>' || child FROM e JOIN r ON p = parent UNION ALL SELECT b.child, a.parent || '>' || a.child || '>' || b.child FROM e a JOIN r ON p = a.parent JOIN e b ON a.child = b.parent")
 def vocab_paths(spark, sf_dir):
-    return V.paths(A.edges(spark, sf_dir), depth=3).select("node", F.array_join("path", ">").alias("path"))
+    return V.paths(A.edges(spark, sf_dir)).select("node", F.array_join("path", ">").alias("path"))
 
 
 @query("WITH RECURSIVE a AS (SELECT n_nationkey AS alias, CAST(n_nationkey / 2 AS INTEGER) AS t FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey > 0), w AS (SELECT alias, t FROM a UNION ALL SELECT w.alias, a.t FROM w JOIN a ON a.alias = w.t) SELECT alias, min(t) AS target FROM w GROUP BY alias")
@@ -150,22 +174,36 @@ def alias_resolve(spark, sf_dir):
 @query(f"WITH {_E} SELECT l_orderkey AS drawing, count(*) AS n FROM lineitem WHERE 'P' || l_partkey IN (SELECT node FROM cl WHERE ancestor = 'N3') GROUP BY ALL")
 def tree_match(spark, sf_dir):
     li = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("drawing"), F.concat(F.lit("P"), "l_partkey").alias("node"))
-    return V.matches(li, "node", V.closure(A.edges(spark, sf_dir), depth=3), "N3").groupBy("drawing").agg(F.count(F.lit(1)).alias("n"))
+    below = V.descendants(A.edges(spark, sf_dir), spark.createDataFrame([("N3",)], "seed string"))  # only what lies below the node asked for
+    return V.matches(li, "node", below).groupBy("drawing").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_E} SELECT ancestor, count(DISTINCT l_suppkey) AS drawings FROM lineitem JOIN cl ON node = 'P' || l_partkey GROUP BY ancestor")
 def facet_counts(spark, sf_dir):
     li = A.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("drawing"), F.concat(F.lit("P"), "l_partkey").alias("node")).distinct()
-    return V.facet_counts(li, "node", V.closure(A.edges(spark, sf_dir), depth=3))
+    return V.facet_counts(li, "node", A.closed(spark, sf_dir))
 
 
-_CASE = " ".join(f"WHEN regexp_matches(t, '\\b{k}\\b') THEN '{v}'" for k, v in sorted(MATERIALS.items(), key=lambda x: -len(x[0])))
+#: Words of the driver's notes: materials by part names, parts by brands' digits are none, qualifiers and measures as added to the notes.
+NOTES = Words(materials={m: [k] for k, m in MATERIALS.items()}, parts=["almond", "ply", "chocolate"], qualifiers=["nominal", "clear"], measures={"setdowns": "setdown", "setdown": "setdown", "fall": "fall", "thick": "thickness"})
+_LOOK = lambda words, plural="": "CASE " + " ".join(f"WHEN regexp_matches(t, '\\b{k}{plural}\\b') THEN '{v}'" for k, v in sorted(words.items(), key=lambda x: -len(x[0]))) + " END"
+_NOTE = """n AS (SELECT p_partkey AS element_id, CAST(p_size AS VARCHAR) || CASE p_partkey % 4 WHEN 0 THEN 'MM ' WHEN 1 THEN ' ' WHEN 2 THEN 'CM ' ELSE ' THK ' END || upper(p_name) || CASE p_partkey % 7 WHEN 0 THEN ' SETDOWN' WHEN 1 THEN ' NOM.' WHEN 2 THEN ' FALL 1:100'
+  WHEN 3 THEN ' REFER ENG. DWGS' WHEN 4 THEN ' 45X90 SHS' ELSE '' END AS text FROM part), t AS (SELECT *, lower(text) AS t FROM n)"""
 
 
-@query(f"WITH t AS (SELECT p_partkey AS element_id, p_size, lower(CAST(p_size AS VARCHAR) || 'MM ' || p_name) AS t FROM part), m AS (SELECT element_id, p_size, CASE {_CASE} END AS material FROM t) SELECT element_id, material, CASE WHEN material IS NOT NULL THEN CAST(p_size AS DOUBLE) END AS value FROM m")
+@query(f"""WITH {_NOTE}, w AS (SELECT *, {_LOOK(MATERIALS)} AS mat, {_LOOK({k: k for k in NOTES.parts}, 's?')} AS part, regexp_extract(t, '\\b(shs|rhs|ub|uc|pfc|ea|ua)\\b', 1) AS shs,
+  CASE WHEN regexp_matches(t, '\\bsetdowns\\b') OR regexp_matches(t, '\\bsetdown\\b') THEN 'setdown' WHEN regexp_matches(t, '\\bfall\\b') THEN 'fall' END AS measure,
+  CASE WHEN regexp_matches(t, '\\bnom\\.') THEN 'nominal' END AS qualifier, CASE WHEN regexp_matches(t, '\\brefer\\b') AND regexp_matches(t, '\\beng\\b') THEN 'engineering' END AS to_,
+  regexp_extract_all(t, '(\\d+(?:\\.\\d+)?)\\s*(?:mm|thk|cm|m)?\\b') AS nums FROM t),
+v AS (SELECT *, coalesce(list_filter(nums, lambda x: regexp_matches(x, '(mm|thk)$'))[1], nums[1]) AS pick FROM w)
+SELECT element_id, CASE WHEN shs <> '' THEN coalesce(mat, 'steel') ELSE mat END AS material, part, qualifier, measure, to_ AS delegated_to, nullif(upper(shs), '') AS profile,
+  CASE WHEN shs = '' AND (mat IS NOT NULL OR measure IS NOT NULL) AND NOT coalesce(measure = 'fall', false) THEN CAST(regexp_extract(pick, '^\\d+(\\.\\d+)?') AS DOUBLE) * CASE WHEN pick LIKE '%cm' THEN 10 ELSE 1 END END AS value
+FROM v WHERE mat IS NOT NULL OR part IS NOT NULL OR measure IS NOT NULL OR shs <> '' """)
 def parse_annotation(spark, sf_dir):
-    said = X.parse(F.col("text"), MATERIALS, {}, {"nominal": "nominal"}, {"setdown": "setdown", "thick": "thickness"}, {"engineer": "engineering"})
-    return A.annotations(spark, sf_dir).withColumn("p", said).select("element_id", "p.material", "p.value")
+    said = X.parse(F.col("text"), NOTES)
+    rows = A.notes(spark, sf_dir).withColumn("p", said).filter("p IS NOT NULL AND p.bare_to IS NULL")
+    rows = rows.select("element_id", "p.material", "p.part", "p.qualifier", "p.measure", "p.delegated_to", "p.profile", "p.value")
+    return rows.filter("coalesce(material, part, measure, profile) IS NOT NULL")
 
 
 @query("SELECT doc_id, array_to_string(list_sort(r), '|') AS refs FROM (SELECT doc_id, list_distinct(regexp_extract_all(upper(text), '\\b(TRASH|IDIOT|MORON|LOSER|CLOWN)\\b', 1)) AS r FROM documents) WHERE len(r) > 0")
@@ -194,16 +232,55 @@ def average_hash_bits(spark, sf_dir):
     return e.select("vec_id", F.bit_count("h").alias("ones"))
 
 
-@query("SELECT o_orderkey AS detail_id, o_totalprice AS score, o_orderpriority AS rank_key FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 25")
+@query("SELECT o_orderkey AS detail_id, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank, o_custkey % 3 AS highs, CAST(o_orderdate AS DATE) AS commit_date FROM orders ORDER BY rank, CASE o_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END, CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 1 END, highs DESC, commit_date DESC, o_orderkey LIMIT 25")
 def tree_rank(spark, sf_dir):
-    o = A.table(spark, sf_dir, "orders").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(25)
-    return o.select(F.col("o_orderkey").alias("detail_id"), F.col("o_totalprice").alias("score"), F.col("o_orderpriority").alias("rank_key"))
+    from ..operators.tree import ranked
+
+    o = A.table(spark, sf_dir, "orders")
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    rows = o.select(F.col("o_orderkey").alias("detail_id"), rank.alias("rank"), (F.col("o_custkey") % 4).alias("status_rank"), (F.col("o_custkey") % 2 == 0).alias("reusable"), (F.col("o_custkey") % 3).alias("highs"), F.to_date("o_orderdate").alias("commit_date"))
+    return ranked(rows, 25).select("detail_id", "rank", "highs", "commit_date")
+
+
+_CLUSTERS = """o AS (SELECT 'u_' || o_orderkey AS uid, CASE WHEN o_orderkey % 3 = 0 THEN 'value' ELSE 'part' END AS level, md5(CAST(o_custkey % 97 AS VARCHAR)) AS said, 'd' || (o_custkey % 50) AS drawing, 't' || (o_custkey % 200) AS detail_id,
+  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS seen FROM orders), c AS (SELECT level || '|' || said AS cluster_key, said AS label, level, count(*) AS n, min(seen) AS oldest, max(seen) AS newest, count(DISTINCT drawing) AS drawings, count(DISTINCT detail_id) AS details FROM o GROUP BY ALL)"""
+
 
+def _queue(spark, sf_dir):
+    from ..operators.review import clusters
+    from ..sources.files import vocabulary_nodes
+    from ..vocabulary import Vocabulary
 
-@query("SELECT source AS level, count(*) AS pending, count(DISTINCT lang) AS sheets, min(doc_id) AS oldest FROM documents GROUP BY source HAVING count(*) >= 10")
+    nodes = vocabulary_nodes(spark, Vocabulary([{"id": "attr.note", "level": "attribute", "label": "Note", "definition": "d", "value_type": "free_text"}]))
+    return clusters(A.occurrences(spark, sf_dir), nodes), nodes
+
+
+@query(f"WITH {_CLUSTERS} SELECT cluster_key, label, level AS level_guess, n AS occurrence_count, details, oldest FROM c")
+def review_clusters(spark, sf_dir):
+    return _queue(spark, sf_dir)[0].select("cluster_key", "label", "level_guess", "occurrence_count", F.size(F.array_distinct(F.transform("places", lambda p: p["detail_id"]))).cast("long").alias("details"), "oldest")
+
+
+@query(f"WITH {_CLUSTERS} SELECT count(*) FILTER (newest >= '1998-06-01') AS new_clusters, count(*) AS pending_total, CAST(sum(n) AS BIGINT) AS pending_occurrences, min(oldest) AS oldest_pending, count(*) FILTER (n >= 20) AS high_impact FROM c")
 def digest(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("level"))
-    return d.agg(F.count(F.lit(1)).alias("pending"), F.count_distinct("lang").alias("sheets"), F.min("doc_id").alias("oldest")).filter("pending >= 10")
+    from ..operators.review import digest
+
+    return digest(_queue(spark, sf_dir)[0], "1998-06-01", 20)
+
+
+@query(f"WITH {_CLUSTERS} SELECT 'value.' || said AS node_id, n AS occurrence_count FROM (SELECT label AS said, n FROM c WHERE level = 'value' AND n >= 10 AND drawings >= 3)")
+def auto_promotion(spark, sf_dir):
+    from ..operators.review import to_promote
+
+    queue, nodes = _queue(spark, sf_dir)
+    return to_promote(queue, nodes, enabled=True).select("node_id", "occurrence_count")
+
+
+@query(f"WITH {_CLUSTERS}, t AS (SELECT n FROM c ORDER BY n DESC, label LIMIT 5) SELECT (SELECT count(*) FROM t) AS clusters, greatest(0, count(*) - 5) AS more, count(*) AS pending_total, count(*) > 50 AS banner FROM c")
+def notification(spark, sf_dir):
+    from ..operators.review import notification
+
+    queue, _ = _queue(spark, sf_dir)
+    return notification(queue, queue).select(F.size("clusters").cast("long").alias("clusters"), F.col("more").cast("long").alias("more"), "pending_total", "banner")
 
 
 @query("WITH s AS (SELECT event_id AS rid, user_id AS uid, event_type, CASE WHEN event_type = 'error' THEN event_id - 1 END AS reverts FROM events) SELECT uid, arg_max(event_type, rid) AS status FROM s WHERE event_type <> 'error' AND rid NOT IN (SELECT reverts FROM s WHERE reverts IS NOT NULL) GROUP BY uid")
@@ -211,7 +288,9 @@ def review_status(spark, sf_dir):
     e = A.table(spark, sf_dir, "events")
     undo = F.col("event_type") == "error"
     log = e.select(F.col("event_id").alias("rid"), F.col("event_id").alias("event_seq"), F.col("user_id").alias("uid"), F.when(undo, "undo").otherwise(F.col("event_type")).alias("action"), F.when(undo, F.col("event_id") - 1).alias("reverts"))
-    return V.effective_status(log)
+    from ..operators.review import effective_status
+
+    return effective_status(log)
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -220,28 +299,32 @@ def last_write_wins(spark, sf_dir):
     return H.last_write_wins(e, ["user_id"], "event_id")
 
 
-@query()
+@query("SELECT p_partkey AS node_id, p_name AS label, 0.85 AS score FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 25")
 def vocab_search(spark, sf_dir):
-    names = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("name"))
-    return V.vocabulary_search(names, "large azure")
+    nodes = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("label"), F.lit("part").alias("level"), F.array().cast("array<string>").alias("synonyms"), F.col("p_partkey").alias("ord"))
+    # names of several words are too unlike the query to count by likeness
+    return V.vocabulary_search(nodes, "ring").select("node_id", "label", F.col("score").cast("decimal(3,2)").alias("score"))
 
 
-@query()
+@query("WITH o AS (SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 3 = 0 THEN 'value' ELSE 'part' END AS level, md5(CAST(o_custkey % 97 AS VARCHAR)) AS said FROM orders) SELECT uid, level || '|' || said AS cluster_key FROM o")
 def cluster_occurrences(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), F.col("p_type").alias("level"), X.normalise(F.col("p_name")).alias("label"))
-    return V.cluster_occurrences(rows)
+    from ..operators.review import cluster
+
+    return cluster(A.occurrences(spark, sf_dir)).select(F.col("uid").cast("int").alias("uid"), "cluster_key")
 
 
-@query()
+@query(f"WITH {_H}, a AS (SELECT * FROM h WHERE commit_seq = 9), b AS (SELECT * FROM h WHERE commit_seq = 8) SELECT a.drawing, CAST(a.element_id AS VARCHAR) AS handle, CASE WHEN b.element_id IS NULL THEN 'new' ELSE 'handle' END AS tier, CASE WHEN b.element_id IS NULL THEN 'new' WHEN abs(round(a.value, 1) - round(b.value, 1)) > 0 THEN 'value_changed' ELSE 'unchanged' END AS status, CASE WHEN b.element_id IS NOT NULL THEN 'e_' || a.element_id END AS known_id FROM a LEFT JOIN b ON a.drawing = b.drawing AND a.element_id = b.element_id")
 def entity_resolution(spark, sf_dir):
     from ..operators.identity import resolve
 
     h = A.snapshots(spark, sf_dir)
-    row = lambda seq: H.at(h, seq).select("drawing", F.col("element_id").cast("string").alias("handle"), F.lit("TEXT").alias("type"), F.lit("0").alias("layer"), F.round("value", 1).alias("x"), F.lit(0.0).alias("y"), F.lit(None).cast("string").alias("text"))
-    return resolve(row(9), row(8).withColumn("element_id", F.concat(F.lit("e_"), "handle")))
+    now, before = A.elements(H.at(h, 9)), A.elements(H.at(h, 8)).withColumn("element_id", F.concat(F.lit("e_"), "dxf_handle"))
+    found = resolve(now, before)
+    known = F.when(F.col("match_tier") == "handle", F.col("element_id"))
+    return found.select("drawing", F.col("dxf_handle").alias("handle"), F.col("match_tier").alias("tier"), "status", known.alias("known_id"))
 
 
-@query()
+@query("WITH b AS (SELECT s_nationkey AS drawing, s_suppkey AS element_id, s_acctbal AS lo, s_acctbal + 5 AS hi FROM supplier), g AS (SELECT *, CASE WHEN lo - max(hi) OVER (PARTITION BY drawing ORDER BY lo, element_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 25 THEN 0 ELSE 1 END AS starts FROM b), i AS (SELECT *, sum(starts) OVER (PARTITION BY drawing ORDER BY lo, element_id) AS k FROM g) SELECT drawing, element_id, min(element_id) OVER (PARTITION BY drawing, k) AS island FROM i")
 def islands(spark, sf_dir):
     from ..operators.identity import content_islands
 
@@ -304,3 +387,6 @@ def region_of_point(spark, sf_dir):
     poly = F.array(corner(0.0, 0), corner(40.0, 0), corner(40.0, 1), corner(0.0, 1))
     r = s.select(F.col("s_nationkey").alias("drawing"), F.col("s_suppkey").alias("region_id"), poly.alias("poly"))
     return regions_at(_customers(spark, sf_dir), r).select("drawing", "point_id", "region_id")
+
+
+from . import more  # noqa: E402, F401  registers further queries

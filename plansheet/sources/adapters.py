@@ -41,6 +41,38 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.unionByName(low)
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(element_id, text): notes such as '12MM ALMOND PLY'."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("element_id"), F.concat(F.col("p_size").cast("string"), F.lit("MM "), F.upper("p_name")).alias("text"))
+def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure of edges()."""
+    from ..operators.vocabulary import closure
+
+    return closure(edges(spark, sf_dir))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(element_id, text): notes such as '12MM ALMOND PLY NOM.'"""
+    p, n = table(spark, sf_dir, "part"), F.col("p_partkey")
+    unit = F.when(n % 4 == 0, "MM ").when(n % 4 == 1, " ").when(n % 4 == 2, "CM ").otherwise(" THK ")
+    more = F.when(n % 7 == 0, " SETDOWN").when(n % 7 == 1, " NOM.").when(n % 7 == 2, " FALL 1:100").when(n % 7 == 3, " REFER ENG. DWGS").when(n % 7 == 4, " 45X90 SHS").otherwise("")
+    return p.select(n.alias("element_id"), F.concat(F.col("p_size").cast("string"), unit, F.upper("p_name"), more).alias("text"))
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts that nobody classified yet."""
+    o = table(spark, sf_dir, "orders")
+    said = F.md5((F.col("o_custkey") % 97).cast("string"))
+    none = F.lit(None).cast("string")
+    level = F.when(F.col("o_orderkey") % 3 == 0, "value").otherwise("part")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("uid"), said.alias("raw_string"), said.alias("normalised"), level.alias("level_guess"), F.when(level == "value", "attr.note").alias("attribute"), none.alias("material"), none.alias("part"),
+        F.concat(F.lit("d"), F.col("o_custkey") % 50).alias("drawing"), F.concat(F.lit("t"), F.col("o_custkey") % 200).alias("detail_id"), none.alias("element_id"), F.year("o_orderdate").alias("commit_seq"),
+        F.to_date("o_orderdate").cast("string").alias("commit_date"), F.array().cast("array<string>").alias("sibling_context"),
+    )
+
+
+def elements(state: DataFrame) -> DataFrame:
+    """A snapshot as element rows: a line far from all others for each element, its value as text."""
+    from .. import schemas
+
+    x = F.col("element_id") * 100.0
+    known = {"dxf_handle": F.col("element_id").cast("string"), "type": F.lit("LINE"), "layer": F.lit("0"), "geom": F.struct(x.alias("x"), F.lit(0.0).alias("y"), F.array(x, F.lit(0.0), x, F.lit(0.0)).alias("bbox")), "text_raw": F.round("value", 1).cast("string")}
+    return state.select("drawing", *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.struct(schemas.ELEMENT)])

@@ -1 +1 @@
-
+"""Commits as a stream."""
