@@ -116,7 +116,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append(pa.table({"id": ids.values, "list": pa.array(np.full(n, at)), "nth": pa.array(np.arange(n, dtype=np.int32)), "sha": sha, "suspect": pa.array(twice[place])}))
         return pa.concat_tables(out)
 
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("list", T.LongType()), T.StructField("nth", T.IntegerType()), T.StructField("sha", T.BinaryType()), T.StructField("suspect", T.BooleanType())])
+    listed = sent.schema["ids"].dataType.elementType  # nested fields of what a file holds may all be null
+    schema = T.StructType([T.StructField("id", listed), T.StructField("list", T.LongType()), T.StructField("nth", T.IntegerType()), T.StructField("sha", T.BinaryType()), T.StructField("suspect", T.BooleanType())])
     lists = sent.filter("owner = -1").groupBy("list").cogroup(answers.groupBy("list"))
     sorted_out = shared.table(lists.applyInArrow(sort_out, schema))
 

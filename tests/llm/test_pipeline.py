@@ -38,3 +38,45 @@ def test_stages(spark, tmp_path):
     packed = frames[-1].collect()
     assert {r.doc_id for r in packed} == set(text[4]) and max(r.offset + r.length for r in packed) <= 2048
     assert P.run(spark, d).count() == len(packed)
+
+
+ODD = [
+    ("same text here for all of them now", 1), ("same text here for all of them now", 5), ("same text here for all of them now", None), ("SAME text here for all of them now", 5),
+    (None, 7), ("", 8), (None, None), ("  ", 9), ("a rare short text", 20), ("x " * 30_000, 21), ("tie tie tie tie tie tie", 22), ("tie tie tie tie tie tie tie", 22),
+]
+
+
+def odd(spark):
+    rows = [(t, i, "en", "s", 0, "k", 1, "r", "q") for t, i in ODD]
+    return spark.createDataFrame(rows, "text string, doc_id long, lang string, source string, n_chars int, key string, row int, id string, component_id string")
+
+
+def kept(df):
+    return sorted(((r.text or "")[:40], r.doc_id if r.doc_id is not None else -1) for r in df.collect())
+
+
+def test_stages_with_null_and_repeated_ids_and_clashing_columns(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    odd(spark).write.parquet(path := str(tmp_path / "odd"))
+    docs = spark.read.parquet(path)
+    copies = P.drop_copies(spark, docs, d)
+    assert copies.columns == docs.columns
+    # one row of each text, of the largest id; null and '' are one text
+    assert [x for x in kept(copies) if x[0].lower().startswith("same")] == [x for x in kept(copies) if x[1] == 5] and len([x for x in kept(copies) if x[0] == ""]) == 1
+    assert copies.count() == len({"".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for t, _ in ODD})
+    near = P.drop_near_copies(spark, docs, d)
+    # the smallest id of each group; texts without words all stay
+    assert near.columns == docs.columns and [x for x in kept(near) if "same" in x[0].lower()] == [("same text here for all of them now", 1)]
+    assert len([x for x in kept(near) if not x[0].strip()]) == 4 and len([x for x in kept(near) if x[0].startswith("tie")]) == 1
+    clean = P.drop_contaminated(spark, docs, d)
+    assert kept(clean) == kept(docs) and clean.columns == docs.columns
+    assert P.drop_toxic(spark, docs, d).columns == docs.columns
+    packed = P.pack(spark, docs, d)
+    assert packed.filter("piece = 0").count() == len(ODD)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    odd(spark).limit(0).write.parquet(path := str(tmp_path / "none"))
+    docs = spark.read.parquet(path)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0, name
