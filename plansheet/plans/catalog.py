@@ -83,7 +83,7 @@ def snapshot_status(spark, sf_dir):
 
 @query(f"WITH {_H} SELECT coalesce(a.drawing, b.drawing) AS drawing, coalesce(a.element_id, b.element_id) AS element_id, CASE WHEN a.element_id IS NULL THEN 'added' WHEN b.element_id IS NULL THEN 'deleted' ELSE 'changed' END AS change, a.value AS before, b.value AS after FROM (SELECT * FROM h WHERE commit_seq = 3) a FULL JOIN (SELECT * FROM h WHERE commit_seq = 9) b ON a.drawing = b.drawing AND a.element_id = b.element_id WHERE a.value IS DISTINCT FROM b.value")
 def changed_between(spark, sf_dir):
-    return H.changed_between(A.snapshots(spark, sf_dir), 3, 9)
+    return H.changed_between(A.snapshots(spark, sf_dir, (3, 9)), 3, 9)
 
 
 @query(f"WITH {_STATUS}, n AS (SELECT *, row_number() OVER (PARTITION BY drawing, element_id ORDER BY commit_seq) AS nth FROM st) SELECT drawing, element_id, commit_seq, value, status FROM n WHERE nth = 1 OR status <> 'unchanged'")
@@ -93,7 +93,7 @@ def element_history(spark, sf_dir):
 
 @query(f"WITH {_H} SELECT * FROM h WHERE commit_seq = 7")
 def snapshot_at(spark, sf_dir):
-    return H.at(A.snapshots(spark, sf_dir), 7)
+    return H.at(A.snapshots(spark, sf_dir, (7,)), 7)
 
 
 @query(f"WITH {_STATUS}, b AS (SELECT drawing, commit_seq, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'unchanged') AS n_unchanged, count(*) FILTER (status = 'value_changed') AS n_value_changed, count(*) FILTER (status = 'deleted') AS n_deleted, count(*) FILTER (status <> 'unchanged') AS changed FROM st GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY drawing ORDER BY commit_seq) AS revision FROM b")
@@ -299,25 +299,25 @@ def last_write_wins(spark, sf_dir):
     return H.last_write_wins(e, ["user_id"], "event_id")
 
 
-@query("SELECT p_partkey AS node_id, p_name AS label, 0.85 AS score FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 25")
+@query("SELECT p_partkey AS node_id, p_name AS label, CAST(0.85 AS DOUBLE) AS score FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 25")
 def vocab_search(spark, sf_dir):
     nodes = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("label"), F.lit("part").alias("level"), F.array().cast("array<string>").alias("synonyms"), F.col("p_partkey").alias("ord"))
     # names of several words are too unlike the query to count by likeness
-    return V.vocabulary_search(nodes, "ring").select("node_id", "label", F.col("score").cast("decimal(3,2)").alias("score"))
+    return V.vocabulary_search(nodes, "ring").select("node_id", "label", "score")
 
 
 @query("WITH o AS (SELECT o_orderkey AS uid, CASE WHEN o_orderkey % 3 = 0 THEN 'value' ELSE 'part' END AS level, md5(CAST(o_custkey % 97 AS VARCHAR)) AS said FROM orders) SELECT uid, level || '|' || said AS cluster_key FROM o")
 def cluster_occurrences(spark, sf_dir):
     from ..operators.review import cluster
 
-    return cluster(A.occurrences(spark, sf_dir)).select(F.col("uid").cast("int").alias("uid"), "cluster_key")
+    return cluster(A.occurrences(spark, sf_dir)).select(F.col("uid").cast("long").alias("uid"), "cluster_key")
 
 
 @query(f"WITH {_H}, a AS (SELECT * FROM h WHERE commit_seq = 9), b AS (SELECT * FROM h WHERE commit_seq = 8) SELECT a.drawing, CAST(a.element_id AS VARCHAR) AS handle, CASE WHEN b.element_id IS NULL THEN 'new' ELSE 'handle' END AS tier, CASE WHEN b.element_id IS NULL THEN 'new' WHEN abs(round(a.value, 1) - round(b.value, 1)) > 0 THEN 'value_changed' ELSE 'unchanged' END AS status, CASE WHEN b.element_id IS NOT NULL THEN 'e_' || a.element_id END AS known_id FROM a LEFT JOIN b ON a.drawing = b.drawing AND a.element_id = b.element_id")
 def entity_resolution(spark, sf_dir):
     from ..operators.identity import resolve
 
-    h = A.snapshots(spark, sf_dir)
+    h = A.snapshots(spark, sf_dir, (8, 9))
     now, before = A.elements(H.at(h, 9)), A.elements(H.at(h, 8)).withColumn("element_id", F.concat(F.lit("e_"), "dxf_handle"))
     found = resolve(now, before)
     known = F.when(F.col("match_tier") == "handle", F.col("element_id"))

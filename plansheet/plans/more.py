@@ -381,7 +381,7 @@ def indexed_increment(spark, sf_dir):
 
 @query(f"WITH {_H}, a AS (SELECT * FROM h WHERE commit_seq = 3), b AS (SELECT * FROM h WHERE commit_seq = 9) SELECT coalesce(a.drawing, b.drawing) AS drawing, CASE WHEN a.element_id IS NULL THEN 'added' WHEN b.element_id IS NULL THEN 'deleted' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.drawing = b.drawing AND a.element_id = b.element_id WHERE a.value IS DISTINCT FROM b.value OR (a.value > 50) IS DISTINCT FROM (b.value > 50) GROUP BY ALL")
 def changed_fields(spark, sf_dir):
-    h = A.snapshots(spark, sf_dir).withColumn("large", F.col("value") > 50)
+    h = A.snapshots(spark, sf_dir, (3, 9)).withColumn("large", F.col("value") > 50)
     return H.changed_fields(h, 3, 9, ["value", "large"]).groupBy("drawing", "change").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,12 +10,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(drawing, commit_seq, element_id, value): the last value of a day for each element, by (ts, event_id)."""
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    days = e.select("day").distinct()  # one row per commit
+def snapshots(spark: SparkSession, sf_dir: str, only: tuple[int, ...] | None = None) -> DataFrame:
+    """(drawing, commit_seq, element_id, value): the last value of a day for each element, by (ts, event_id).
+
+    A day with events is a commit.  only: these commits; their days are looked
+    up first, so that the scan reads their times alone.
+    """
+    e = table(spark, sf_dir, "events")
+    days = e.select(F.to_date("ts").alias("day")).distinct()  # one row per commit
     seq = days.withColumn("commit_seq", F.row_number().over(Window.orderBy("day")))
-    last = e.groupBy(F.col("event_type").alias("drawing"), "day", F.col("user_id").alias("element_id")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    if only is not None:
+        wanted = {r["commit_seq"]: r["day"] for r in seq.filter(F.col("commit_seq").isin(*only)).collect()}
+        within = F.lit(False)
+        for day in wanted.values():
+            within = within | (F.col("ts") >= F.lit(day).cast("timestamp")) & (F.col("ts") < F.date_add(F.lit(day), 1).cast("timestamp"))
+        e, seq = e.filter(within), spark.createDataFrame([(d, k) for k, d in wanted.items()], "day date, commit_seq int")
+    last = e.withColumn("day", F.to_date("ts")).groupBy(F.col("event_type").alias("drawing"), "day", F.col("user_id").alias("element_id")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
     return last.join(F.broadcast(seq), "day").select("drawing", "commit_seq", "element_id", "value")
 
 
