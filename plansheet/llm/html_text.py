@@ -37,6 +37,8 @@ SHARE, MIN_PAGES, ENOUGH_PAGES = 0.3, 3, 8
 SLOT_PAGES, SLOT_SHARE = 4, 0.5
 #: Numbers are alike in texts of so many letters at most ("Page 3 of 9").
 FEW_LETTERS = 16
+#: Templates (8 bytes each) that are broadcast at most.
+BROADCAST_MARKS = 1_000_000
 
 # Element names.
 _RAW = "script|style|noscript|template|iframe|textarea|title|xmp|noembed|noframes|svg|math|object|canvas|select|datalist|audio|video"
@@ -262,10 +264,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     if counting:
         found = shared.table(dealt.groupBy("b").applyInArrow(look, "b int, host long, key long, slot long, own long"))
-        marks = templates(found)
+        marks = shared.table(templates(found))
+        few = marks.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS
         # back to the buckets: each gets the templates that it holds, however many the site has
-        subtrees = found.filter("key IS NOT NULL")
-        held = subtrees.select("b", F.col("key").alias("mark")).unionByName(subtrees.select("b", F.col("slot").alias("mark"))).distinct().join(marks, "mark", "left_semi")
+        both = found.filter("key IS NOT NULL").select("b", F.explode(F.array("key", "slot")).alias("mark"))
+        held = both.join(F.broadcast(marks) if few else marks, "mark", "left_semi").distinct()
     else:
         held = pages.sparkSession.createDataFrame([], "b int, mark long")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -275,10 +278,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 def templates(found: DataFrame) -> DataFrame:
     """Keys of subtrees and slots (mark) that are templates, from rows (host, key, slot, own)."""
     hosts = found.filter("key IS NULL").groupBy("host", "own").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    places = found.filter("key IS NOT NULL").select("host", "key", "slot", "own").distinct()
-    pages = places.groupBy("host", "key", "own").agg(F.lit(1)).groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages"))
+    subtrees = found.filter("key IS NOT NULL")
+    pages = subtrees.groupBy("key", "own").agg(F.max("host").alias("host")).groupBy("key").agg(F.count(F.lit(1)).alias("pages"), F.max("host").alias("host"))
+    again = pages.filter("pages > 1")
     least = F.least(F.lit(ENOUGH_PAGES), F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("host_pages") * SHARE)))
-    subtrees = pages.join(hosts, "host").filter(F.col("pages") >= least).select(F.col("key").alias("mark"))
-    recurs = places.join(pages.select("key", (F.col("pages") > 1).alias("again")), "key")
-    slots = recurs.filter("slot IS NOT NULL").groupBy("slot", "own").agg(F.max("again").cast("int").alias("again")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.avg("again").alias("share"))
-    return subtrees.unionByName(slots.filter((F.col("n") >= SLOT_PAGES) & (F.col("share") >= SLOT_SHARE)).select(F.col("slot").alias("mark"))).distinct()
+    common = again.filter(F.col("pages") >= MIN_PAGES).join(hosts, "host").filter(F.col("pages") >= least).select(F.col("key").alias("mark"))
+    once = subtrees.filter("slot IS NOT NULL").select("key", "slot", "own").join(again.select("key", F.lit(1).alias("again")), "key", "left")
+    slots = once.groupBy("slot", "own").agg(F.max(F.coalesce("again", F.lit(0))).alias("again")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.avg("again").alias("share"))
+    return common.unionByName(slots.filter((F.col("n") >= SLOT_PAGES) & (F.col("share") >= SLOT_SHARE)).select(F.col("slot").alias("mark"))).distinct()
