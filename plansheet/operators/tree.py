@@ -18,8 +18,8 @@ STATUS_RANK = {"as_built": 0, "approved": 1, "concept": 2}
 
 
 def forest(paths: DataFrame, hit: Column, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, prefix, depth, node, paths, hits) of all prefixes of the paths (array column path); hit says which paths count."""
-    rows = paths.select(*keys, "path", hit.alias("hit")).withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("path"))))
+    """(keys, prefix, depth, node, paths, hits) of all prefixes of the paths (array column path, empty and null ones left out); hit says which paths count."""
+    rows = paths.filter("size(path) > 0").select(*keys, "path", hit.alias("hit")).withColumn("depth", F.explode(F.sequence(F.lit(1), F.size("path"))))
     prefix = rows.withColumn("prefix", F.slice("path", 1, F.col("depth")))
     by = prefix.groupBy(*keys, "prefix", "depth").agg(F.count(F.lit(1)).alias("paths"), F.count_if("hit").alias("hits"))
     return by.select(*keys, "prefix", "depth", F.element_at("prefix", -1).alias("node"), "paths", "hits")
