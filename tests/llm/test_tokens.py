@@ -118,3 +118,26 @@ def test_materialise(spark, tmp_path):
     assert text == [*encode(["xyz abc " * 2000])[0].tolist(), 0]
     empty = str(tmp_path / "none")
     assert M.materialise(spark.createDataFrame([], SCHEMA), PATH, empty).collect() == [] and list(M.read_from(empty)) == []
+
+
+def test_registered_queries_against_the_library(spark):
+    """Pieces and ids of op2 and the tokens of op9, for all documents of a table, by the library itself."""
+    from plansheet.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    slow = Tokenizer.from_file(PATH)
+    ids = {r.doc_id: [*slow.encode(r.text or "", add_special_tokens=False).ids, 0] for r in queries._docs(spark, d).collect()}
+    pieces, filled = defaultdict(list), defaultdict(list)
+    for r in queries.QUERIES["op2_best_fit_packing"](spark, d).collect():
+        pieces[r.doc_id].append(r)
+        filled[r.sequence_id].append((r.offset, r.length))
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+    assert {i: sum(r.length for r in rs) for i, rs in pieces.items()} == {i: len(x) for i, x in ids.items()}
+    assert all(r.length == 2048 for rs in pieces.values() for r in rs if r.piece) and all(sorted(r.piece for r in rs) == list(range(-(-len(ids[i]) // 2048))) for i, rs in pieces.items())
+    for x in filled.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(x)]).tolist()]
+        assert [at for at, _ in sorted(x)] == ends[:-1] and ends[-1] <= 2048
+    total = sum(map(len, ids.values()))
+    assert len(filled) <= -(-total // 2048) * 1.02 + 1  # near the bound that no packing beats
+    order = queries.QUERIES["op9_training_order"](spark, d).collect()
+    assert sum(r.n_tokens for r in order) == total and sorted(r.slot for r in order) == list(range(len(order)))
