@@ -7,7 +7,8 @@ those it holds more than once.  The owner answers each message with a bitmap of
 the hashes that occur at least twice overall.  A hash reaches its owner once
 per bucket at most, however often it occurs, and answers are a bit per hash.
 
-There are at most OWNERS owners, so messages grow in proportion to the input.
+There are as many owners as buckets but OWNERS at most, so messages grow in
+proportion to the input.
 Beyond PACKED buckets (some 64 GB of text) an owner would have to hold too many
 hashes at once; there, hashes travel as plain rows that Spark groups and joins,
 which spills, and a bucket is answered with the list of its repeated hashes.
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Text bytes per bucket; a bucket is handled in one Python call.
 BUCKET_BYTES = 8 << 20
 #: Owners at most, buckets of packed messages at most, shuffle partitions at most (several buckets share one).
@@ -41,8 +44,9 @@ def dealt(rows: DataFrame, size: int, *content: str, bucket_bytes: int | None =
     """rows with a bucket b, hash-partitioned on it, and the number of buckets for so many bytes.
 
     rows must give the same rows in the same partitions whenever they are read,
-    as a table does.
+    as a table does (its splits are pinned here).
     """
+    shared.pin_splits(rows.sparkSession)
     n = max(1, math.ceil(size / (bucket_bytes or BUCKET_BYTES)))
     salted: Column = F.xxhash64(*content, F.spark_partition_id())
     rows = rows.withColumn("b", F.pmod(salted, F.lit(n)).cast("int"))
@@ -58,7 +62,7 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int | No
 
 def owners(n: int) -> int:
     """Owners for n buckets; 0: hashes travel as rows."""
-    return max(1, min(OWNERS, n // 4)) if n <= PACKED else 0
+    return min(OWNERS, n) if n <= PACKED else 0
 
 
 def owner_cuts(hashes: np.ndarray, n: int) -> np.ndarray:

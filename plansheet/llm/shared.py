@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Has Spark delete a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Least number of partitions of a scan; unset, it follows the cores there are, which change when executors are lost.
+_SPLITS = "spark.sql.files.minPartitionNum"
 #: Broadcasts whose copies executors keep; older ones are sent again if they are still wanted.
 _KEPT = 3
 
@@ -33,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """From here on, files are split alike in every scan of the session, however many executors are left: a row keeps its partition and its place there."""
+    if spark.conf.get(_SPLITS, None) is None:
+        # executors may still be on their way: no fewer than a shuffle has
+        spark.conf.set(_SPLITS, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from the shared folder: lost executors cost no recomputation beyond it."""
     shared_dir(df.sparkSession)

@@ -57,3 +57,27 @@ def test_a_full_bit_table_lets_more_through_and_loses_nothing(spark, monkeypatch
     got = {r.doc_id: r for r in exact_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i].group_size == (2 if i < 15 or 30 <= i < 45 else 1) for i in got)
     assert all(got[i].keep_id == (i + 30 if i < 15 else i) for i in got)
+
+
+def test_rows_keep_their_place_when_cores_change(spark, tmp_path, monkeypatch):
+    """Buckets and keys hang on partitions, so a table's splits mustn't follow the number of cores."""
+    from pyspark import SparkContext
+    from pyspark.sql import functions as F
+
+    from plansheet.llm import shared
+
+    spark.range(3000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 3000) AS text").repartition(3).write.parquet(path := str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    try:
+        shared.pin_splits(spark)
+        read = lambda: spark.read.parquet(path).select("doc_id", F.monotonically_increasing_id().alias("k"))
+        first = {r.doc_id: r.k for r in read().collect()}
+        assert int(spark.conf.get("spark.sql.files.minPartitionNum")) >= spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(SparkContext, "defaultParallelism", property(lambda self: 99))
+        shared.pin_splits(spark)  # the first value stays
+        assert spark.conf.get("spark.sql.files.minPartitionNum") != "99" and {r.doc_id: r.k for r in read().collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        if before is not None:
+            spark.conf.set("spark.sql.files.minPartitionNum", before)
