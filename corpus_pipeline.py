@@ -25,7 +25,8 @@ _ROW = "_row_of_stage"
 
 
 def _keyed(docs: DataFrame, null_first: bool) -> DataFrame:
-    """(key, text): a key for every row, ordered by id; the same at every reading of a table."""
+    """(key, text): a key for every row, ordered by id; the same at every reading of a table, as its splits are pinned."""
+    shared.pin_splits(docs.sparkSession)
     absent = F.col("doc_id").isNull() if not null_first else F.col("doc_id").isNotNull()
     return docs.select(F.struct(absent.alias("absent"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row")).alias("key"), "text")
 
