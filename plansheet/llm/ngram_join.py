@@ -15,8 +15,10 @@ Signatures meet at hash owners (exchange.py), and only those that two classes
 share become rows.  A bucket of classes with one signature isn't expanded into
 pairs: every class is verified exactly against the most central class that it
 shares one with, links join components, and a bucket whose classes are in one
-component is done.  Classes
-of the other buckets are compared group by group in blocks of bounded size,
+component is done.  A class
+with fewer signatures in other buckets than a linked set shares is done too, and
+of the rest all but a few of the commonest signatures are passed over.  Classes
+that what is left connects are compared group by group in blocks of bounded size,
 where a matrix product gives all intersections at once and one link for each
 two components is kept.  No link between different sets is missed.
 """
@@ -27,7 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,7 +150,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int):
 
 
 def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Classes that share a signature with another one: c, n, members (sorted hashes), sigs, weight (how shared they are)."""
+    """Classes that share a signature with another one: c, n, members (sorted hashes), sigs, needs (of each: twice the least number shared with a linked set, plus which band), weight (how shared they are)."""
     level = 9  # of rows that name the classes a bucket answers for
     assigned = info.filter("n_shingles > 0").groupBy("c").agg(F.min("b").alias("b")).select("b", F.lit(-1).alias("owner"), F.lit(level).alias("level"), F.col("c").alias("bits"))
 
@@ -169,22 +171,24 @@ def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int,
         count = X.read_answer(right, 0, hi, None, owners, counts=True)[place]
         out, at = [], 0
         for (c, h), of_bands in zip(found.items(), each, strict=True):
-            kept, weight = [], 0
-            for sigs, need in of_bands:
+            kept, needs, weight = [], [], 0
+            for which, (sigs, need) in enumerate(of_bands):
                 k = count[at : at + len(sigs)]
                 at += len(sigs)
                 if (k > 1).sum() >= need:
                     kept += sigs[k > 1].view(np.int64).tolist()
+                    needs += [2 * need + which] * int((k > 1).sum())  # a set lies in two bands at most
                     weight += int(k[k > 1].sum())
             if kept:
-                out.append((c, len(h), h.tobytes(), kept, weight))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.table({x: pa.array(v, t) for x, v, t in zip(("c", "n", "members", "sigs", "weight"), columns, (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)})
+                out.append((c, len(h), h.tobytes(), kept, needs, weight))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64())
+        return pa.table({x: pa.array(v, t) for x, v, t in zip(("c", "n", "members", "sigs", "needs", "weight"), columns, types, strict=True)})
 
     by = rows.groupBy("b")
     answers = X.answered(by.cogroup(assigned.groupBy("b")).applyInArrow(send, X.MESSAGE), False, owners, coded=True, counts_back=True)
     both = answers.unionByName(assigned)
-    return by.cogroup(both.groupBy("b")).applyInArrow(keep, "c binary, n long, members binary, sigs array<long>, weight long")
+    return by.cogroup(both.groupBy("b")).applyInArrow(keep, "c binary, n long, members binary, sigs array<long>, needs array<int>, weight long")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
@@ -295,27 +299,49 @@ def _compare_blocks(num: int, den: int):
     return kernel
 
 
+def _telling(left: DataFrame, cut) -> DataFrame:
+    """Rows (c, s, root) by which sets of different components may still be linked, each in one bucket at least with a set that it must be compared with.
+
+    Buckets whose classes are in one component are done.  Linked sets of
+    different components share all their signatures in the others, so a set
+    with fewer of these than a linked one shares at least is done as well; that
+    may end further buckets.  Of the rest, sets that share so many meet among
+    their rarest signatures: all but need - 1 of them have to be looked at.
+    """
+    rows, size = left, None
+    for _ in range(4):  # stopping early leaves more to compare, never less
+        open_ = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("f")).filter("low <> high").select("s", "f")
+        held = rows.drop("f").join(open_, "s")
+        enough = held.groupBy("c", "band").agg(F.count(F.lit(1)).alias("u"), F.max("need").alias("least")).filter("u >= least").select("c", "band", "u")
+        rows = cut(held.drop("u").join(enough, ["c", "band"]))
+        if (now := rows.count()) == size:
+            break
+        size = now
+    rarest = Window.partitionBy("c", "band").orderBy("f", "s")
+    first = rows.withColumn("k", F.row_number().over(rarest)).filter("k <= u - need + 1").select("c", "s", "root")
+    open_ = first.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("s")
+    return cut(first.join(open_, "s", "left_semi"))
+
+
 def linked_components(found: DataFrame, num: int, den: int, cut) -> DataFrame:
     """(c, root) of all candidate classes that have a link."""
-    spot = cut(found.select("c", "n", "weight", F.explode("sigs").alias("s")))
+    spot = cut(found.select("c", "n", "weight", F.explode(F.arrays_zip("sigs", "needs")).alias("x")).select("c", "n", "weight", F.col("x.sigs").alias("s"), (F.col("x.needs") % 2).alias("band"), F.floor(F.col("x.needs") / 2).cast("int").alias("need")))
     leader = cut(spot.groupBy("s").agg(F.max(F.struct("weight", "c", "n")).alias("lead")))
     met = spot.join(leader, "s").filter("c <> lead.c").filter(F.greatest("n", "lead.n") * num <= F.least("n", "lead.n") * den)
     met = met.groupBy(F.col("c").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.c").alias("z"))
     links = cut(_verified(met, found, num, den))
     roots = components(links)
 
-    # buckets in one component are done
     few = roots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    left = cut(spot.select("c", "s").join(F.broadcast(roots) if few else roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
-    split = cut(left.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("c").alias("first")).filter("low <> high").select("s", "first"))
-    undone = left.join(split, "s").select(F.col("c").alias("a"), F.col("first").alias("z"), "root")
-    undone = cut(undone.groupBy("a", "z").agg(F.first("root").alias("root")))
+    left = cut(spot.select("c", "s", "band", "need").join(F.broadcast(roots) if few else roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
+    undone = _telling(left, cut)
     if not undone.limit(1).count():
         return roots
     # classes that buckets connect form groups; a group is compared in pairs of bounded blocks
-    group = components(undone.filter("a <> z").select("a", "z"))
+    pairs = undone.join(undone.groupBy("s").agg(F.min("c").alias("first")), "s").filter("c <> first").select(F.col("c").alias("a"), F.col("first").alias("z")).distinct()
+    group = components(pairs)
     size = group.groupBy(F.col("root").alias("group")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = undone.groupBy(F.col("a").alias("c")).agg(F.first("root").alias("root")).join(group.select("c", F.col("root").alias("group")), "c").join(size, "group")
+    rows = undone.groupBy("c").agg(F.min("root").alias("root")).join(group.select("c", F.col("root").alias("group")), "c").join(size, "group")
     rows = rows.join(found.select("c", "members"), "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("group", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "c", "root", "members")
