@@ -36,10 +36,10 @@ def parsed_equal(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same & part)
 
 
-def change_status(now: Column, before: Column) -> Column:
-    """new, unchanged, moved, value_changed or moved+value_changed, of two element structs (before: null if there is none)."""
-    far = F.hypot(now["geom"]["x"] - before["geom"]["x"], now["geom"]["y"] - before["geom"]["y"]) > MOVED
-    edges = F.exists(F.zip_with(now["geom"]["bbox"], before["geom"]["bbox"], lambda a, b: F.abs(a - b) > MOVED), lambda x: F.coalesce(x, F.lit(False)))
+def change_status(now: Column, before: Column, reach: float = MOVED) -> Column:
+    """new, unchanged, moved, value_changed or moved+value_changed, of two element structs (before: null if there is none); a move goes farther than reach."""
+    far = F.hypot(now["geom"]["x"] - before["geom"]["x"], now["geom"]["y"] - before["geom"]["y"]) > reach
+    edges = F.exists(F.zip_with(now["geom"]["bbox"], before["geom"]["bbox"], lambda a, b: F.abs(a - b) > reach), lambda x: F.coalesce(x, F.lit(False)))
     moved = F.coalesce(far, F.lit(False)) | F.coalesce(edges, F.lit(False))
     changed = ~parsed_equal(now["parsed"], before["parsed"])
     for name in ("text_raw", "hatch_pattern", "dim_measurement", "dim_override"):

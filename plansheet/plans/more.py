@@ -353,12 +353,11 @@ def element_status(spark, sf_dir):
     from ..operators.identity import change_status
 
     h = A.snapshots(spark, sf_dir)
-    # scaled so that a move of more than 0.15 is a value of more than 20
-    geom = F.struct((F.col("value") * 0.0075).alias("x"), F.lit(0.0).alias("y"), F.array(F.col("value") * 0.0075, F.lit(0.0), F.col("value") * 0.0075, F.lit(0.0)).alias("bbox"))
+    geom = F.struct(F.col("value").alias("x"), F.lit(0.0).alias("y"), F.array(F.col("value"), F.lit(0.0), F.col("value"), F.lit(0.0)).alias("bbox"))
     none = F.lit(None).cast("string")
     parsed = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("material", "string"), ("value", "double"), ("unit", "string"), ("qualifier", "string"), ("profile", "string"), ("dims", "array<double>"), ("r_value", "double"), ("part", "string"))])
     rows = h.select("drawing", "element_id", "commit_seq", geom.alias("geom"), F.floor("value").cast("string").alias("text_raw"), parsed.alias("parsed"), none.alias("hatch_pattern"), F.lit(None).cast("double").alias("dim_measurement"), none.alias("dim_override"))
-    found = H.with_status(rows, status=change_status).filter("status <> 'deleted'")
+    found = H.with_status(rows, status=lambda now, before: change_status(now, before, 20.0)).filter("status <> 'deleted'")
     return found.groupBy("drawing", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
