@@ -44,8 +44,8 @@ def near(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
 
 
 def snap(points: DataFrame, vertices: DataFrame, radius: float = SNAP, keys: tuple[str, ...] = ("drawing", "point_id")) -> DataFrame:
-    """(keys, vertex_id, tx, ty, dist): each point's nearest vertex; of equally near ones, the largest vertex_id."""
-    best = F.min_by(F.struct("vertex_id", "tx", "ty", "dist"), F.struct("dist", (-F.col("vertex_id")).alias("late")))
+    """(keys, vertex_id, tx, ty, dist): each point's nearest vertex; of equally near ones (to 1e-6), the largest vertex_id."""
+    best = F.min_by(F.struct("vertex_id", "tx", "ty", "dist"), F.struct(F.round("dist", 6).alias("near"), (-F.col("vertex_id")).alias("late")))
     return near(points, vertices, radius).groupBy(*keys).agg(best.alias("v")).select(*keys, "v.*")
 
 

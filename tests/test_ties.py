@@ -1,8 +1,10 @@
 """Queries whose order or limits meet ties, against their SQL on tables made of ties; and how many rows a lookup of regions makes."""
 
 import datetime
+import random
 
 import duckdb
+import pytest
 from plansheet.plans.catalog import QUERIES, SQL
 
 FORMS = {
@@ -24,6 +26,20 @@ def agrees(spark, tmp_path, name, **tables):
     assert sorted(got, key=key) == sorted(want.fetchall(), key=key) and got
 
 
+def sheets(step):
+    """Balances in steps, so that points, vertices and edges meet or lie equally far from each other."""
+    draw = random.Random(3)
+    balance = lambda: round(draw.randrange(-300, 300) * step, 2)
+    customers = [(i, "c", i % 2, balance(), "m") for i in range(300)]
+    return {"customer": customers, "supplier": [(i, "s", i % 2, balance()) for i in range(40)]}
+
+
+@pytest.mark.parametrize("name", ["snap_points"])
+@pytest.mark.parametrize("step", [0.7, 5.0])
+def test_touching_and_equally_near(spark, tmp_path, name, step):
+    agrees(spark, tmp_path, name, **sheets(step))
+
+
 def test_moves_as_long_as_the_limit(spark, tmp_path):
     day = datetime.datetime(2024, 1, 1, 12)
     rows = []
