@@ -12,8 +12,12 @@ import math
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..config import CHAIN_RANKS, ShapeRules, Words
@@ -24,6 +28,8 @@ from .kernels import nearest, per_group
 
 #: Reach of a snap and of a region's boundary in mm; types of annotations.
 SNAP, BOUNDARY = 0.5, 0.5
+#: Points or segments, and regions, of a cell that one task compares at a time.
+LEFTS_PER_PART, RIGHTS_PER_PART = 8192, 1024
 ANNOTATIONS = ("TEXT", "MTEXT", "MULTILEADER", "PDFTEXT", "ANNOTATION")
 
 
@@ -49,25 +55,100 @@ def snap(points: DataFrame, vertices: DataFrame, radius: float = SNAP, keys: tup
     return near(points, vertices, radius).groupBy(*keys).agg(best.alias("v")).select(*keys, "v.*")
 
 
+def _boxed(df: DataFrame, boundary: float) -> DataFrame:
+    """regions (drawing, region_id, poly) with their box, widened by the boundary, and its size class: the next power of two."""
+    along = lambda c: F.transform("poly", lambda p: p[c])
+    lows, highs = (F.array_min(along(c)) - boundary for c in "xy"), (F.array_max(along(c)) + boundary for c in "xy")
+    boxed = df.select("drawing", "region_id", "poly", *[v.alias(n) for v, n in zip((*lows, *highs), ("x0", "y0", "x1", "y1"), strict=True)])
+    return boxed.withColumn("size", _class())
+
+
+def _class() -> Column:
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1.0)))))
+
+
+def _tiled(boxed: DataFrame) -> DataFrame:
+    """A row for each cell of the given width that the box meets."""
+    cell = lambda v: F.floor(F.col(v) / F.col("width")).cast("long")
+    across = F.explode(F.sequence(cell("x0"), F.greatest(cell("x0"), cell("x1"))))
+    return boxed.withColumn("cx", across).withColumn("cy", F.explode(F.sequence(cell("y0"), F.greatest(cell("y0"), cell("y1")))))
+
+
+def _per_tile(left: DataFrame, right: DataFrame, kernel, schema: T.StructType) -> DataFrame:
+    """kernel(key, left rows, right rows) for each tile that both have; crowded tiles in parts, each of one side with each of the other."""
+    tile, right = ["drawing", "width", "cx", "cy"], right.toDF(*right.columns)  # the two may come from one table
+    counts = [df.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(n)) for df, most, n in ((left, LEFTS_PER_PART, "lefts"), (right, RIGHTS_PER_PART, "rights"))]
+    parts = counts[0].join(counts[1], tile)
+    deal = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(parts, tile).withColumn("_l", deal(left, "lefts")).withColumn("_r", each("rights")).drop("lefts", "rights")
+    b = right.join(parts, tile).withColumn("_l", each("lefts")).withColumn("_r", deal(right, "rights")).drop("lefts", "rights")
+    keys = [*tile, "_l", "_r"]
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(kernel, schema)
+
+
+def _polygons(table: pa.Table) -> list[np.ndarray]:
+    """(points, 2) of each row's poly."""
+    col = table.column("poly").combine_chunks()
+    at, body = col.offsets.to_numpy(), col.values
+    xy = np.stack([body.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1).astype(float)
+    return [xy[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+
+
+def _holds(poly: np.ndarray, box: np.ndarray, x: np.ndarray, y: np.ndarray, boundary: float) -> np.ndarray:
+    """Which points lie in the polygon or at most the boundary away: within its widened box, and by distance to a billionth."""
+    out = np.zeros(len(x), bool)
+    at = np.flatnonzero((x >= box[0]) & (y >= box[1]) & (x <= box[2]) & (y <= box[3]))
+    if not len(at):
+        return out
+    px, py = x[at], y[at]
+    (ax, ay), (bx, by) = poly.T[:, :, None], np.roll(poly, -1, 0).T[:, :, None]
+    dx, dy = bx - ax, by - ay
+    with np.errstate(divide="ignore", invalid="ignore"):
+        held = np.logical_xor.reduce(((ay > py) != (by > py)) & (px < dx * (py - ay) / dy + ax), 0)
+        t = np.clip(np.nan_to_num(((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy)), 0, 1)
+    out[at] = held | (np.hypot(px - (ax + t * dx), py - (ay + t * dy)).min(0) <= boundary + 1e-9)
+    return out
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy().astype(float) for n in names]
+
+
 def regions_at(points: DataFrame, regions: DataFrame, boundary: float = BOUNDARY) -> DataFrame:
     """points with region_id: the first region (smallest region_id) that holds the point or whose boundary is near; null if none does.
 
     points (drawing, point_id, x, y, ...), regions (drawing, region_id, poly).
     A region is looked up in cells as wide as its box (the next power of two),
     so it lies in four cells at most; a point looks once for each width that
-    its drawing's regions have.
+    its drawing's regions have.  In a cell, regions come in order and take the
+    points that none before has, so a point is tested up to its first region.
     """
-    low, high = (lambda f: F.array_min(F.transform("poly", f)) - boundary), (lambda f: F.array_max(F.transform("poly", f)) + boundary)
-    x, y = (lambda p: p["x"]), (lambda p: p["y"])
-    sized = regions.withColumn("width", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(high(x) - low(x), high(y) - low(y), F.lit(1.0))))))
-    cell = lambda v: F.floor(v / F.col("width")).cast("long")
-    tiles = sized.withColumn("cx", F.explode(F.sequence(cell(low(x)), cell(high(x))))).withColumn("cy", F.explode(F.sequence(cell(low(y)), cell(high(y)))))
-    widths = sized.select("drawing", "width").distinct()
-    here = points.select("drawing", "point_id", "x", "y").join(widths, "drawing").withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
-    met = here.join(tiles, ["drawing", "width", "cx", "cy"])
-    met = met.filter(G.contains(F.col("poly"), F.col("x"), F.col("y")) | (G.boundary_distance(F.col("poly"), F.col("x"), F.col("y")) <= boundary))
-    first = met.groupBy("drawing", "point_id").agg(F.min("region_id").alias("region_id"))
-    return points.join(first, ["drawing", "point_id"], "left")
+    sized = _boxed(regions, boundary).withColumnRenamed("size", "width")
+    cell = lambda v: F.floor(F.col(v) / F.col("width")).cast("long")
+    placed = points.select("drawing", "point_id", "x", "y").filter("x IS NOT NULL AND y IS NOT NULL")
+    here = placed.join(sized.select("drawing", "width").distinct(), "drawing").withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+
+    def first(here: pa.Table, there: pa.Table) -> pa.Table:
+        there = there.take(pc.sort_indices(there, [("region_id", "ascending")]))
+        (x, y), boxes, found = _numbers(here, "x", "y"), np.stack(_numbers(there, "x0", "y0", "x1", "y1"), 1), np.full(here.num_rows, -1)
+        left = np.argsort(x, kind="stable")
+        for k, poly in enumerate(_polygons(there)):
+            if not len(left):
+                break
+            lo, hi = np.searchsorted(x[left], boxes[k, 0]), np.searchsorted(x[left], boxes[k, 2], "right")
+            some = left[lo:hi]
+            hit = _holds(poly, boxes[k], x[some], y[some], boundary)
+            if hit.any():
+                found[some[hit]] = k
+                left = np.concatenate([left[:lo], some[~hit], left[hi:]])
+        met = np.flatnonzero(found >= 0)
+        return here.select(["drawing", "point_id"]).take(met).append_column("region_id", there.column("region_id").take(found[met]))
+
+    schema = T.StructType([points.schema["drawing"], points.schema["point_id"], regions.schema["region_id"]])
+    met = _per_tile(here, _tiled(sized).filter("region_id IS NOT NULL"), first, schema)
+    first_of = met.groupBy("drawing", "point_id").agg(F.min("region_id").alias("region_id"))
+    return points.join(first_of, ["drawing", "point_id"], "left")
 
 
 def regions_of_segments(segments: DataFrame, regions: DataFrame, boundary: float = BOUNDARY) -> DataFrame:

@@ -5,6 +5,9 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from plansheet.operators import attribution as A
 from plansheet.plans.catalog import QUERIES, SQL
 
 FORMS = {
@@ -34,7 +37,7 @@ def sheets(step):
     return {"customer": customers, "supplier": [(i, "s", i % 2, balance()) for i in range(40)]}
 
 
-@pytest.mark.parametrize("name", ["snap_points"])
+@pytest.mark.parametrize("name", ["snap_points", "region_of_point"])
 @pytest.mark.parametrize("step", [0.7, 5.0])
 def test_touching_and_equally_near(spark, tmp_path, name, step):
     agrees(spark, tmp_path, name, **sheets(step))
@@ -47,3 +50,27 @@ def test_moves_as_long_as_the_limit(spark, tmp_path):
         value = round(30 + k * 0.17, 2)
         rows += [(2 * k, day, k, "click", value, ""), (2 * k + 1, day + datetime.timedelta(1), k, "click", round(value - 20, 2), "")]
     agrees(spark, tmp_path, "element_status", events=rows)
+
+
+def most_rows(df):
+    """Rows of the operator that makes the most, once df ran."""
+    def walk(plan):
+        name = plan.nodeName()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else []
+        children = plan.children()
+        made = plan.metrics().get("numOutputRows")
+        return max([made.get().value() if made.isDefined() else 0, *map(walk, inner), *(walk(children.apply(i)) for i in range(children.size()))])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_points_among_many_regions_are_not_paired_with_all(spark):
+    points = spark.range(2000).select(F.lit("a").alias("drawing"), F.col("id").alias("point_id"), (F.col("id") % 97 / 10 + 0.013).alias("x"), (F.col("id") % 89 / 10 + 0.017).alias("y"))
+    corner = lambda dx, dy: F.struct((F.col("id") % 10 + dx).cast("double").alias("x"), (F.col("id") % 7 + dy).cast("double").alias("y"))
+    regions = spark.range(300).select(F.lit("a").alias("drawing"), F.col("id").alias("region_id"), F.array(corner(0, 0), corner(3, 0), corner(0, 3)).alias("poly"))
+    found = A.regions_at(points, regions)
+    assert most_rows(found) < 20_000
+    pairs = points.join(regions, "drawing").filter(A.G.contains(F.col("poly"), F.col("x"), F.col("y")) | (A.G.boundary_distance(F.col("poly"), F.col("x"), F.col("y")) <= 0.5))
+    want = {r[0]: r[1] for r in pairs.groupBy("point_id").agg(F.min("region_id")).collect()}
+    assert {r["point_id"]: r["region_id"] for r in found.collect()} == {i: want.get(i) for i in range(2000)}
