@@ -111,6 +111,15 @@ def _holds(poly: np.ndarray, box: np.ndarray, x: np.ndarray, y: np.ndarray, boun
     return out
 
 
+def _goes_through(poly: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which segments cross an edge: their ends lie beyond it on either side, so an end that only touches it doesn't count."""
+    turn = lambda px, py, qx, qy, rx, ry: (qy - py) * (rx - qx) - (qx - px) * (ry - qy)
+    (cx, cy), (dx, dy) = poly.T[:, :, None], np.roll(poly, -1, 0).T[:, :, None]
+    apart = (turn(ax, ay, bx, by, cx, cy) > 0) != (turn(ax, ay, bx, by, dx, dy) > 0)
+    a, b = turn(cx, cy, dx, dy, ax, ay), turn(cx, cy, dx, dy, bx, by)
+    return (apart & ((a > 0) & (b < 0) | (a < 0) & (b > 0))).any(0)
+
+
 def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(n).to_numpy().astype(float) for n in names]
 
@@ -152,13 +161,42 @@ def regions_at(points: DataFrame, regions: DataFrame, boundary: float = BOUNDARY
 
 
 def regions_of_segments(segments: DataFrame, regions: DataFrame, boundary: float = BOUNDARY) -> DataFrame:
-    """(segments' columns, region_id) of all regions that a segment (drawing, segment_id, x, y, x2, y2) lies in or crosses."""
-    col = F.col
-    at = lambda px, py: G.contains(col("poly"), px, py) | (G.boundary_distance(col("poly"), px, py) <= boundary)
-    met = segments.join(regions.select("drawing", "region_id", "poly"), "drawing")
-    far = (F.greatest("x", "x2") < F.array_min(F.transform("poly", lambda p: p["x"])) - boundary) | (F.least("x", "x2") > F.array_max(F.transform("poly", lambda p: p["x"])) + boundary)
-    met = met.filter(~far).filter((at(col("x"), col("y")) & at(col("x2"), col("y2"))) | G.crosses(col("poly"), col("x"), col("y"), col("x2"), col("y2")))
-    return met.select(*segments.columns, "region_id")
+    """(segments' columns, region_id) of all regions that a segment (drawing, segment_id, x, y, x2, y2) lies in or crosses.
+
+    It lies in a region that holds both ends or has them near its boundary, and
+    crosses one if its ends lie beyond an edge on either side.  Segments and
+    regions meet in cells as wide as the larger one's box (the next power of
+    two), a pair in the one cell where the common part of their boxes begins.
+    """
+    own = F.struct(*segments.columns)
+    ends = {"x0": F.least("x", "x2") - boundary, "y0": F.least("y", "y2") - boundary, "x1": F.greatest("x", "x2") + boundary, "y1": F.greatest("y", "y2") + boundary}
+    here = segments.filter("x IS NOT NULL AND y IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL").select("drawing", own.alias("own"), "x", "y", "x2", "y2", *[v.alias(n) for n, v in ends.items()]).withColumn("size", _class())
+    there = _boxed(regions, boundary)
+    levels = lambda df: df.select("drawing", F.col("size").alias("width")).distinct()
+    at_levels = lambda df, other: _tiled(df.join(levels(df).unionByName(levels(other)).distinct(), "drawing").filter("width >= size"))
+
+    def meet(key, here: pa.Table, there: pa.Table) -> pa.Table:
+        _, width, cx, cy, _, _ = (k.as_py() for k in key)
+        x, y, x2, y2, x0, y0, x1, y1, size = _numbers(here, "x", "y", "x2", "y2", "x0", "y0", "x1", "y1", "size")
+        boxes, sizes = np.stack(_numbers(there, "x0", "y0", "x1", "y1"), 1), _numbers(there, "size")[0]
+        which, regions = [], []
+        for k, poly in enumerate(_polygons(there)):
+            box = boxes[k]
+            near = (x1 >= box[0]) & (x0 <= box[2]) & (y1 >= box[1]) & (y0 <= box[3]) & (np.maximum(size, sizes[k]) == width)
+            i = np.flatnonzero(near & (np.floor(np.maximum(x0, box[0]) / width) == cx) & (np.floor(np.maximum(y0, box[1]) / width) == cy))
+            both = _holds(poly, box, x[i], y[i], boundary)
+            both[both] = _holds(poly, box, x2[i][both], y2[i][both], boundary)
+            rest = i[~both]
+            both[~both] = _goes_through(poly, x[rest], y[rest], x2[rest], y2[rest])
+            which.append(i[both])
+            regions.append(np.full(len(which[-1]), k))
+        at, k = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (which, regions))
+        own = here.column("own").combine_chunks()
+        columns = [pc.struct_field(own, n).take(pa.array(at)) for n in segment_columns]
+        return pa.table([*columns, there.column("region_id").take(pa.array(k))], names=[*segment_columns, "region_id"])
+
+    segment_columns, schema = segments.columns, T.StructType([*segments.schema.fields, regions.schema["region_id"]])
+    return _per_tile(at_levels(here, there), at_levels(there, here), meet, schema)
 
 
 # --- one sheet

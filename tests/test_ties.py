@@ -37,7 +37,7 @@ def sheets(step):
     return {"customer": customers, "supplier": [(i, "s", i % 2, balance()) for i in range(40)]}
 
 
-@pytest.mark.parametrize("name", ["snap_points", "region_of_point"])
+@pytest.mark.parametrize("name", ["snap_points", "regions_crossed", "region_of_point"])
 @pytest.mark.parametrize("step", [0.7, 5.0])
 def test_touching_and_equally_near(spark, tmp_path, name, step):
     agrees(spark, tmp_path, name, **sheets(step))
@@ -74,3 +74,21 @@ def test_points_among_many_regions_are_not_paired_with_all(spark):
     pairs = points.join(regions, "drawing").filter(A.G.contains(F.col("poly"), F.col("x"), F.col("y")) | (A.G.boundary_distance(F.col("poly"), F.col("x"), F.col("y")) <= 0.5))
     want = {r[0]: r[1] for r in pairs.groupBy("point_id").agg(F.min("region_id")).collect()}
     assert {r["point_id"]: r["region_id"] for r in found.collect()} == {i: want.get(i) for i in range(2000)}
+
+
+def test_segments_and_regions_of_any_size_meet_once(spark):
+    draw, rows = random.Random(5), []
+    for i in range(200):
+        x, y, size = draw.uniform(-50, 50), draw.uniform(-50, 50), draw.choice([0.1, 3, 40, 300])
+        rows.append(("a", i, x, y, x + draw.uniform(-size, size), y + draw.uniform(-size, size)))
+    segments = spark.createDataFrame(rows, "drawing string, segment_id long, x double, y double, x2 double, y2 double")
+    polys = []
+    for i in range(60):
+        x, y, size = draw.uniform(-50, 50), draw.uniform(-50, 50), draw.choice([1, 8, 70])
+        polys.append(("a", i, [{"x": x, "y": y}, {"x": x + size, "y": y}, {"x": x + size / 2, "y": y + size}]))
+    regions = spark.createDataFrame(polys, "drawing string, region_id long, poly array<struct<x: double, y: double>>")
+    c = F.col
+    at = lambda x, y: A.G.contains(c("poly"), x, y) | (A.G.boundary_distance(c("poly"), x, y) <= 0.5)
+    pairs = segments.join(regions, "drawing").filter(at(c("x"), c("y")) & at(c("x2"), c("y2")) | A.G.crosses(c("poly"), c("x"), c("y"), c("x2"), c("y2")))
+    got = [(r["segment_id"], r["region_id"]) for r in A.regions_of_segments(segments, regions).collect()]
+    assert sorted(got) == sorted((r["segment_id"], r["region_id"]) for r in pairs.collect()) and len(got) > 300
