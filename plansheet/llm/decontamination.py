@@ -3,9 +3,9 @@
 Documents are read as overlapping passages.  Passages and benchmark items are
 TF-IDF vectors over the items' words (other words can't tell items apart), with
 document frequencies counted over all passages of all documents.  A distributed
-randomised SVD (random range finder, one power step) of a bounded sample of
-passages stacked on all items gives the latent space; every passage is then
-projected, and items with a high cosine are its candidates.  A candidate counts
+randomised SVD (Gram matrix times random directions, Nystrom) of all passages
+of all documents stacked on all items gives the latent space; every passage is
+then projected, and items with a high cosine are its candidates.  A candidate counts
 if the longest common subsequence of words covers most of the item, or, for a
 paraphrase, a good part of it and the words of its answer as well.
 """
@@ -25,8 +25,10 @@ from . import textcore as C
 
 #: Words in a passage and between starts of passages.
 PASSAGE, STRIDE = 64, 32
-#: Latent dimensions, extra random directions, documents in the sample that fits them (in expectation).
-RANK, EXTRA, SAMPLE_DOCS = 96, 16, 4000
+#: Latent dimensions, extra random directions.
+RANK, EXTRA = 96, 16
+#: Numbers of a scan's Gram matrices that a task holds; passes of more words are projected passage by passage, with the same sum.
+GRAM = 1 << 24
 #: A pass holds items until it has so many, or so many distinct words; so many passes search the documents in one scan.
 ITEMS_PER_PASS, WORDS_PER_PASS, PASSES_PER_SCAN = 1000, 1 << 14, 4
 #: Words of a larger share of passages tell nothing.
@@ -151,42 +153,65 @@ def _each(df: DataFrame, kernel, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _sum_over(df: DataFrame, words: np.ndarray, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A.T @ (A @ x) over all passages of df (text): partial sums of row blocks meet on executors."""
-    held, step = shared.broadcast(df.sparkSession, (words, idf, x)), 512  # the words of a pass times RANK + EXTRA floats
+def _add_gram(gram: np.ndarray, passage: np.ndarray, word: np.ndarray, value: np.ndarray) -> None:
+    """Adds A.T @ A to gram (flat); passage is sorted."""
+    cut = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else np.zeros(0, np.int64)
+    n = np.diff(np.append(cut, len(passage)))
+    each = np.repeat(n, n)  # entries of each entry's passage
+    one = np.repeat(np.arange(len(passage)), each)
+    other = np.arange(len(one)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(np.repeat(cut, n), each)
+    np.add.at(gram, word[one] * round(len(gram) ** 0.5) + word[other], value[one] * value[other])
+
+
+def _sum_over(df: DataFrame, spaces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """A.T @ (A @ x) over all passages of df (text) for each (words, idf, x), in one scan: a task's sums meet on executors in row blocks."""
+    held, step, most = shared.broadcast(df.sparkSession, spaces), 512, GRAM  # for each pass, its words times RANK + EXTRA floats
 
     def part(batches):
-        words, idf, x = held.value
-        total = np.zeros_like(x)
+        spaces, left, grams, totals = held.value, most, [], []
+        for words, _, x in spaces:
+            fits = len(words) ** 2 <= left
+            left -= len(words) ** 2 if fits else 0
+            grams.append(np.zeros(len(words) ** 2, np.float32) if fits else None)
+            totals.append(np.zeros_like(x))
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 w = _tokens(batch.column(0).slice(lo, 200))
                 _, first, last = _passages(w)
-                p, k, times = _entries(_places(words, w.hash), first, last, len(words))
-                total += _gram_times(p, k, _weights(p, k, times, idf, len(first)), x, len(first))
-        at = list(range(0, len(x), step))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[a : a + step].tobytes() for a in at], pa.binary())], ["at", "body"])
+                for (words, idf, x), gram, total in zip(spaces, grams, totals, strict=True):
+                    p, k, times = _entries(_places(words, w.hash), first, last, len(words))
+                    use = idf[k] > 0
+                    p, k, times = p[use], k[use], times[use]
+                    value = _weights(p, k, times, idf, len(first))
+                    if gram is not None:
+                        _add_gram(gram, p, k, value)
+                    else:
+                        total += _gram_times(p, k, value, x, len(first))
+        for nth, ((_, _, x), gram, total) in enumerate(zip(spaces, grams, totals, strict=True)):
+            if gram is not None:
+                total = gram.reshape(len(x), len(x)) @ x
+            at = list(range(0, len(x), step))
+            yield pa.RecordBatch.from_arrays([pa.array([nth] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([total[a : a + step].tobytes() for a in at], pa.binary())], ["nth", "at", "body"])
 
     def add(key, table):
         total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in table.column("body").to_pylist())
-        return pa.table({"at": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"nth": pa.array([key[0].as_py()], pa.int32()), "at": pa.array([key[1].as_py()], pa.int32()), "body": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    out = np.zeros_like(x)
-    for r in df.mapInArrow(part, "at int, body binary").groupBy("at").applyInArrow(add, "at int, body binary").collect():
-        body = np.frombuffer(r["body"], np.float32).reshape(-1, x.shape[1])
-        out[r["at"] : r["at"] + len(body)] = body
+    out, form = [np.zeros_like(x) for _, _, x in spaces], "nth int, at int, body binary"
+    for r in df.mapInArrow(part, form).groupBy("nth", "at").applyInArrow(add, form).collect():
+        body = np.frombuffer(r["body"], np.float32).reshape(-1, out[r["nth"]].shape[1])
+        out[r["nth"]][r["at"] : r["at"] + len(body)] = body
     return out
 
 
 @dataclass
 class Corpus:
-    """What all passes share: sorted hashes of all items' words, the passages that hold each, all passages, and a sample of texts."""
+    """What all passes share: sorted hashes of all items' words, the passages that hold each, all passages, and the texts."""
 
     words: np.ndarray
     held_by: np.ndarray
     passages: int
-    docs: int
-    sample: DataFrame
+    texts: DataFrame
 
     def idf(self, words: np.ndarray) -> np.ndarray:
         n = self.held_by[np.searchsorted(self.words, words)]
@@ -194,34 +219,30 @@ class Corpus:
         return np.maximum(np.where(n > COMMON * self.passages + 5, 0, out), 0)  # words of most passages tell nothing
 
 
-def survey(texts: DataFrame, items: list[tuple[int, str]], sample_docs: int = SAMPLE_DOCS) -> Corpus:
-    """One scan of all texts (one column) counts the passages of every word of any item; another draws the sample."""
+def survey(texts: DataFrame, items: list[tuple[int, str]]) -> Corpus:
+    """One scan of all texts (one column) counts the passages of every word of any item."""
     words = np.unique(_tokens(pa.array([t for _, t in items], pa.large_string())).hash) if items else np.zeros(0, np.uint64)
     spark = texts.sparkSession
     held = shared.broadcast(spark, words)  # 8 bytes for each word of the benchmark
 
     def count(batches):
         words = held.value
-        total, docs = np.zeros(len(words) + 1, np.int64), 0
+        total = np.zeros(len(words) + 1, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 t = _tokens(batch.column(0).slice(lo, 500))
-                docs += len(t.lens)
                 _, first, last = _passages(t)
                 if len(words):
                     _, k, _ = _entries(_places(words, t.hash), first, last, len(words))
                     total[:-1] += np.bincount(k, minlength=len(words))
                 total[-1] += len(first)
-        total = np.append(total, docs)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["k", "n"])
 
-    n = np.zeros(len(words) + 2, np.int64)
+    n = np.zeros(len(words) + 1, np.int64)
     for r in texts.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each word
         n[r["k"]] = r["n"]
-    draw = F.pmod(F.xxhash64(texts.columns[0], F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = shared.table(texts.filter(draw < sample_docs / max(1, int(n[-1]))))
-    return Corpus(words, n[:-2], int(n[-2]), int(n[-1]), sample)
+    return Corpus(words, n[:-1], int(n[-1]), texts)
 
 
 def passes(items: list[tuple[int, str]], most_items: int, most_words: int) -> list[list[tuple[int, str]]]:
@@ -238,35 +259,45 @@ def passes(items: list[tuple[int, str]], most_items: int, most_words: int) -> li
 
 
 def fit(corpus: Corpus, items: list[tuple[int, str]], rank: int = RANK) -> Index:
-    """The latent space of the corpus's sample and the items of one pass."""
-    w = _tokens(pa.array([t for _, t in items], pa.large_string()))
-    words = np.unique(w.hash)
-    place = _places(words, w.hash) if len(words) else np.zeros(0, np.int64)
-    parts = [place[a:z] for a, z in zip(w.off[:-1], w.off[1:], strict=True)]
-    ids = [i for i, _ in items]
-    if not len(words):
-        return Index(words, np.zeros(0), None, None, ids, parts, parts)
-    idf = corpus.idf(words)
-    lens = np.array([len(p) for p in parts])
-    off = np.concatenate([[0], np.cumsum(lens)])
-    p, k, times = _entries(place, off[:-1], off[1:], len(words))
-    value = _weights(p, k, times, idf, len(parts))
-    rng = np.random.default_rng(9)
-    x = rng.normal(size=(len(words), min(rank + EXTRA, len(words)))).astype(np.float32)
-    weight = max(1.0, min(corpus.passages, SAMPLE_DOCS * corpus.passages / max(1, corpus.docs)) / max(1, len(parts)))  # items weigh as much as the sample
-
-    def gram(x):
-        return _sum_over(corpus.sample, words, idf, x) + weight * _gram_times(p, k, value, x, len(parts))
-
-    q, _ = np.linalg.qr(gram(x).astype(np.float64))
-    q = q.astype(np.float32)
-    small = q.T.astype(np.float64) @ gram(q)
-    _, u = np.linalg.eigh((small + small.T) / 2)
-    basis = (q @ u[:, ::-1][:, :rank]).astype(np.float32)
-    latent = _project(p, k, value, basis, len(parts))
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    answers = [_answer(t, x, idf) if len(x) else x for (_, t), x in zip(items, parts, strict=True)]
-    return Index(words, idf, basis, latent, ids, parts, answers)
+    """The latent space of all passages of the corpus and the items of one pass."""
+    return fit_passes(corpus, [items], rank)[0]
+
+
+def fit_passes(corpus: Corpus, runs: list[list[tuple[int, str]]], rank: int = RANK) -> list[Index]:
+    """fit() of several passes in one scan of all texts."""
+    out, wanted = [], []
+    for items in runs:
+        w = _tokens(pa.array([t for _, t in items], pa.large_string()))
+        words = np.unique(w.hash)
+        place = _places(words, w.hash) if len(words) else np.zeros(0, np.int64)
+        parts = [place[a:z] for a, z in zip(w.off[:-1], w.off[1:], strict=True)]
+        out.append(Index(words, np.zeros(0), None, None, [i for i, _ in items], parts, parts))
+        if len(words):
+            out[-1].idf = corpus.idf(words)
+            x = np.random.default_rng(9).normal(size=(len(words), min(rank + EXTRA, len(words))))
+            wanted.append((items, out[-1], np.linalg.qr(x)[0].astype(np.float32)))
+    sums = _sum_over(corpus.texts, [(index.words, index.idf, x) for _, index, x in wanted]) if wanted else []
+    for (items, index, x), found in zip(wanted, sums, strict=True):
+        lens = np.array([len(p) for p in index.items])
+        off = np.concatenate([[0], np.cumsum(lens)])
+        p, k, times = _entries(np.concatenate(index.items), off[:-1], off[1:], len(index.words))
+        value = _weights(p, k, times, index.idf, len(lens))
+        weight = max(1.0, corpus.passages / len(lens))  # items weigh as much as all passages
+        index.basis = _leading(found + weight * _gram_times(p, k, value, x, len(lens)), x, rank)
+        latent = _project(p, k, value, index.basis, len(lens))
+        index.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        index.answers = [_answer(t, own, index.idf) if len(own) else own for (_, t), own in zip(items, index.items, strict=True)]
+    return out
+
+
+def _leading(y: np.ndarray, x: np.ndarray, rank: int) -> np.ndarray:
+    """Leading eigenvectors of a positive matrix of which y is the product with the orthonormal x (Nystrom)."""
+    y, x = y.astype(np.float64), x.astype(np.float64)
+    small = x.T @ y
+    value, u = np.linalg.eigh((small + small.T) / 2)
+    sure = value > 1e-6 * max(value[-1], 1e-30)
+    vectors, _, _ = np.linalg.svd(y @ (u[:, sure] / np.sqrt(value[sure])), full_matrices=False)
+    return vectors[:, :rank].astype(np.float32)
 
 
 def search(index: Index, w: C.Words, everything: bool = False) -> list[list[tuple[int, float]]]:
@@ -319,7 +350,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are runs of letters and digits, lower-cased A-Z only.  Null and empty
     texts and items match nothing, and neither do items without a word or with
     a null id.  Items of equal text all count; items of equal id are one.  Items
-    are taken in passes of bounded size, a few passes a scan, and a scan's
+    are taken in passes of bounded size, a few passes a scan (and one to fit them), and a scan's
     models go when it ends, so memory keeps its size however long the benchmark
     is.  Rows that repeat get the same answer.  Of docs, only id and text are
     read; no rows or no items give n_items 0 everywhere.
@@ -334,7 +365,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         corpus = survey(rows.select("text"), items)
         runs = passes(items, ITEMS_PER_PASS, WORDS_PER_PASS)
         for at in range(0, len(runs), PASSES_PER_SCAN):
-            held = shared.broadcast(spark, [fit(corpus, run) for run in runs[at : at + PASSES_PER_SCAN]])
+            held = shared.broadcast(spark, fit_passes(corpus, runs[at : at + PASSES_PER_SCAN]))
             hits = hits.unionByName(shared.table(rows.select(*key, "text").mapInArrow(_judge(held), hits.schema)))
     by = hits.groupBy("k", "l").agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("share").alias("best_share"))
     found = rows.select("id", *key).join(by, ["k", "l"], "left")

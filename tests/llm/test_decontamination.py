@@ -82,3 +82,24 @@ def test_many_passes_and_scans_agree_with_one(spark, monkeypatch):
     monkeypatch.setattr(D, "PASSES_PER_SCAN", 2)
     many = {r.doc_id: (r.contaminated, r.item_ids) for r in D.contamination(docs, bench).collect()}
     assert one.keys() == many.keys() and sum(one[k][0] != many[k][0] for k in one) <= 0.1 * sum(x for x, _ in one.values()) + 1
+
+
+def test_the_latent_space_is_that_of_all_passages(spark, monkeypatch):
+    """Twice as many documents as were once drawn: the fit's sums are those of every passage, whether by Gram matrix or passage by passage."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 90))) for _ in range(8000)]
+    items = [(i, " ".join(rng.sample(vocab, 12))) for i in range(20)]
+    corpus = D.survey(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), items)
+    monkeypatch.setattr(D, "COMMON", 2.0)
+    asked, sums = [], D._sum_over
+    monkeypatch.setattr(D, "_sum_over", lambda df, spaces: asked.append(([s for s in spaces], sums(df, spaces))) or asked[-1][1])
+    for most in (D.GRAM, 0):
+        monkeypatch.setattr(D, "GRAM", most)
+        D.fit(corpus, items)
+        [(words, idf, x)], [got] = asked.pop()
+        w = D._tokens(pa.array(texts))
+        _, first, last = D._passages(w)
+        p, k, times = D._entries(D._places(words, w.hash), first, last, len(words))
+        want = D._gram_times(p, k, D._weights(p, k, times, idf, len(first)), x, len(first))
+        assert len(first) == corpus.passages and np.abs(want).max() > 1 and np.allclose(got, want, rtol=1e-3, atol=1e-3 * np.abs(want).max())
