@@ -3,12 +3,14 @@
 A word's probability is that of its class given everything before it in the
 document, times that of the word within its class.  Classes are the end of a
 text, the most frequent words (each its own class) and word endings for all
-other words.  The class softmax sits on a gated recurrent unit trained in numpy
-by back-propagation truncated to windows, first on a sample, then in every
-partition on a share of all training documents, whose networks are averaged; in scoring, the state is carried
+other words, as counted over all training documents.  The class softmax sits on
+a gated recurrent unit trained in numpy by back-propagation truncated to
+windows, on every word of every training document: in rounds, in each of which
+all partitions learn from documents of their own where they lie and their
+networks are averaged; in scoring, the state is carried
 across windows, so a document is scored whole however long it is.  Within a
 class, words have smoothed relative frequencies counted over all training
-documents: buckets send every distinct word's hash, class and count to hash
+documents: buckets send every distinct word's hash, ending and count to hash
 owners and get the totals back (see exchange.py), so the vocabulary has no cap
 and never meets in one place.  Probabilities of all words and one unknown word
 per class sum to one.
@@ -32,10 +34,10 @@ from . import textcore as C
 
 #: Words with a class of their own, classes of endings, hidden units.
 TOP_WORDS, ENDINGS, HIDDEN = 80, 47, 24
-#: Training documents that fix the classes and start the network in expectation, updates, lanes and steps of an update.
-SAMPLE_DOCS, UPDATES, LANES, WINDOW = 600, 500, 48, 32
-#: Share of all training documents that the network is then trained on where they lie, and its learning rate.
-SHARE, FINE_RATE = 0.005, 0.001
+#: Updates of a small input, most lanes of an update (fewer where words would not make so many updates), its steps, and the learning rate.
+UPDATES, LANES, WINDOW, RATE = 500, 256, 32, 0.01
+#: Rounds end behind these parts (of 16, by a hash) of the training documents; a task's text bytes in a small input; bytes classed at a time.
+ROUNDS, TASK_BYTES, CHUNK_BYTES = (1, 16), 16 << 20, 4 << 20
 #: Lanes in scoring.
 SCORE_LANES = 512
 END = 0  # class of the end of a text; also what a document starts from
@@ -49,6 +51,8 @@ class Network:
     top_class: np.ndarray
     ending: np.ndarray  # last two bytes -> class
     w: dict[str, np.ndarray]
+    tokens: int = 0  # of all training documents
+    size: int = 0  # their bytes, about
 
     @property
     def classes(self) -> int:
@@ -82,101 +86,168 @@ def _step(h: np.ndarray, x: np.ndarray, w: dict[str, np.ndarray], n: int):
     return z, r, rh, c, h + z * (c - h)
 
 
-def train_network(sequences: list[np.ndarray], classes: int, updates: int = UPDATES, seed: int = 3, begin: dict[str, np.ndarray] | None = None, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """Weights of a gated recurrent unit that predicts each class of the sequences (each ending in END) from those before; begin: weights to go on from."""
+def untrained(classes: int, counts: np.ndarray | None = None, seed: int = 3) -> dict[str, np.ndarray]:
+    """Random weights; counts: how often each class occurs."""
     rng, n = np.random.default_rng(seed), HIDDEN
     w = {"W": rng.normal(0, 0.1, (classes, 3 * n)), "U": rng.normal(0, 0.2, (n, 3 * n)), "O": rng.normal(0, 0.1, (n, classes)), "bo": np.zeros(classes)}
-    flat = np.concatenate([np.append(END, s) for s in sequences]) if sequences else np.array([END, END])
-    w["bo"] = np.log(np.bincount(flat, minlength=classes) + 0.5) - np.log(len(flat) + classes / 2)
-    if begin is not None:
-        w = {k: v.astype(np.float64) for k, v in begin.items()}
-    first = np.zeros(len(flat), bool)
-    first[np.cumsum([0, *(len(s) + 1 for s in sequences)])[:-1]] = True
-    steps = len(flat) // LANES
-    if steps < 2:
-        return {k: v.astype(np.float32) for k, v in w.items()}
-    lanes, start = flat[: steps * LANES].reshape(LANES, steps), first[: steps * LANES].reshape(LANES, steps)
-    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    h, at = np.zeros((LANES, n)), 0
-    for update in range(1, updates + 1):
-        if at + 1 >= steps:
-            at, h = 0, np.zeros((LANES, n))
-        z = min(at + WINDOW, steps - 1)
-        inputs, wanted, scored = lanes[:, at:z], lanes[:, at + 1 : z + 1], ~start[:, at + 1 : z + 1]
-        held, grad = [], {k: np.zeros_like(x) for k, x in w.items()}
-        for t in range(z - at):
-            h = h * ~start[:, at + t][:, None]
-            old = h
-            *gates, h = _step(h, w["W"][inputs[:, t]], w, n)
-            held.append((old, *gates, h))
-        d_next, total = np.zeros((LANES, n)), max(1, scored.sum())
-        for t in range(z - at - 1, -1, -1):
-            old, zz, r, rh, c, new = held[t]
-            p = new @ w["O"] + w["bo"]
-            p = np.exp(p - p.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(LANES), wanted[:, t]] -= 1
-            p *= scored[:, t][:, None] / total
-            grad["O"] += new.T @ p
-            grad["bo"] += p.sum(0)
-            d = p @ w["O"].T + d_next
-            dc = d * zz * (1 - c**2)
-            dz = d * (c - old) * zz * (1 - zz)
-            drh = dc @ w["U"][:, 2 * n :].T
-            dr = drh * old * r * (1 - r)
-            gates = np.concatenate([dz, dr], 1)
-            grad["U"][:, : 2 * n] += old.T @ gates
-            grad["U"][:, 2 * n :] += rh.T @ dc
-            np.add.at(grad["W"], inputs[:, t], np.concatenate([gates, dc], 1))
-            d_next = (d * (1 - zz) + drh * r + gates @ w["U"][:, : 2 * n].T) * ~start[:, at + t][:, None]
-        norm = np.sqrt(sum((g**2).sum() for g in grad.values()))
+    if counts is not None:
+        w["bo"] = np.log(counts + 0.5) - np.log(counts.sum() + classes / 2)
+    return {k: v.astype(np.float32) for k, v in w.items()}
+
+
+def _line(k: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents' classes behind each other, END before and behind each, and where documents begin."""
+    flat, first = np.full(len(k) + 2 * len(lens), END, np.uint8), np.zeros(len(k) + 2 * len(lens), bool)
+    flat[np.arange(len(k)) + 2 * np.repeat(np.arange(len(lens)), lens) + 1] = k
+    first[np.cumsum(lens + 2) - lens - 2] = True
+    return flat, first
+
+
+class Trainer:
+    """Trains weights by back-propagation truncated to windows; every class of a line that isn't a document's beginning is learnt once per call of learn()."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.w = {k: x.astype(np.float32) for k, x in w.items()}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.updates = 0
+
+    def learn(self, flat: np.ndarray, first: np.ndarray, lanes: int, rate) -> None:
+        """rate: learning rate after so many more words."""
+        steps = -(-(len(flat) - 1) // lanes)
+        pad = lanes * steps - (len(flat) - 1)
+        deal = lambda x, fill: np.ascontiguousarray(np.append(x, np.full(pad, fill, x.dtype)).reshape(lanes, steps).T)
+        inputs, goals, scored, resets = deal(flat[:-1], END), deal(flat[1:], END), deal(~first[1:], False), deal(first[:-1], True)
+        h = np.zeros((lanes, HIDDEN), np.float32)
+        for at in range(0, steps, WINDOW):
+            z = at + WINDOW
+            if scored[at:z].any():
+                h = self._update(h, inputs[at:z], goals[at:z], scored[at:z], ~resets[at:z], rate(min(at * lanes, len(flat))))
+
+    def _update(self, h, inputs, goals, scored, goes_on, rate):
+        w, n, (steps, lanes) = self.w, HIDDEN, inputs.shape
+        into = w["W"][inputs]
+        old, z, r, rh, c, new = (np.empty((steps, lanes, n), np.float32) for _ in range(6))
+        for t in range(steps):
+            old[t] = h * goes_on[t][:, None]
+            z[t], r[t], rh[t], c[t], h = _step(old[t], into[t], w, n)
+            new[t] = h
+        states = new.reshape(-1, n)
+        p = states @ w["O"]
+        p += w["bo"]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        mask = scored.reshape(-1) / np.float32(max(1, scored.sum()))
+        p *= (mask / p.sum(1))[:, None]
+        p[np.arange(len(p)), goals.reshape(-1)] -= mask
+        grad = {"O": states.T @ p, "bo": p.sum(0)}
+        back, gates = (p @ w["O"].T).reshape(steps, lanes, n), np.empty((steps, lanes, 3 * n), np.float32)
+        u_gates, u_state, d_next = np.ascontiguousarray(w["U"][:, : 2 * n].T), np.ascontiguousarray(w["U"][:, 2 * n :].T), np.zeros((lanes, n), np.float32)
+        dz_by, dr_by, dc_by = (c - old) * z * (1 - z), old * r * (1 - r), z * (1 - c * c)
+        for t in range(steps - 1, -1, -1):
+            d = back[t] + d_next
+            g = gates[t]
+            np.multiply(d, dc_by[t], out=g[:, 2 * n :])
+            drh = g[:, 2 * n :] @ u_state
+            np.multiply(d, dz_by[t], out=g[:, :n])
+            np.multiply(drh, dr_by[t], out=g[:, n : 2 * n])
+            d_next = (d * (1 - z[t]) + drh * r[t] + g[:, : 2 * n] @ u_gates) * goes_on[t][:, None]
+        flat = gates.reshape(-1, 3 * n)
+        grad["U"] = np.concatenate([old.reshape(-1, n).T @ flat[:, : 2 * n], rh.reshape(-1, n).T @ flat[:, 2 * n :]], 1)
+        seen = inputs.reshape(-1)
+        order = np.argsort(seen, kind="stable")
+        cut = np.flatnonzero(np.append(True, np.diff(seen[order]) != 0))
+        grad["W"] = np.zeros_like(w["W"])
+        grad["W"][seen[order[cut]]] = np.add.reduceat(flat[order], cut, axis=0)
+        self.updates += 1
+        norm = np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grad.values()))
         for k, g in grad.items():
-            g *= min(1.0, 1.0 / (norm + 1e-12))
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g * g
-            w[k] -= rate * (1 - 0.9 * update / updates) * (m[k] / (1 - 0.9**update)) / (np.sqrt(v[k] / (1 - 0.99**update)) + 1e-8)
-        at = z
-    return {k: x.astype(np.float32) for k, x in w.items()}
-
-
-def build(texts: list[str]) -> Network:
-    """Classes and network from sample texts."""
-    w = C.words(pa.array(texts, pa.large_string()), lower=True)
-    h, n = np.unique(w.hash, return_counts=True)
-    chosen = np.argsort(-n, kind="stable")[:TOP_WORDS]
-    chosen = np.sort(chosen[n[chosen] > 1])
-    top, top_class = h[chosen], 1 + np.arange(len(chosen))
-    net = Network(top, top_class, np.zeros(1 << 16, np.int64), {})
-    rest = np.bincount(_endings(w)[~np.isin(w.hash, top)], minlength=1 << 16)
-    net.ending[:] = len(top) + 1  # all other endings
-    frequent = np.argsort(-rest, kind="stable")[: ENDINGS - 1]
-    frequent = frequent[rest[frequent] > 0]
-    net.ending[frequent] = len(top) + 2 + np.arange(len(frequent))
-    k = classes_of(net, w)
-    net.w = train_network([np.append(k[a:z], END) for a, z in zip(w.off[:-1], w.off[1:], strict=True)], len(top) + 2 + len(frequent))
-    return net
+            g *= np.float32(min(1.0, 1.0 / (norm + 1e-12)))
+            self.m[k] = 0.9 * self.m[k] + 0.1 * g
+            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
+            w[k] -= np.float32(rate) * (self.m[k] / (1 - 0.9**self.updates)) / (np.sqrt(self.v[k] / (1 - 0.99**self.updates)) + np.float32(1e-8))
+        return h
+
+
+def _lanes(words: float, updates: int) -> int:
+    """Lanes with which so many words make about so many updates."""
+    return int(np.clip(words // (WINDOW * max(1, updates)), 16, LANES))
+
+
+def train_network(sequences: list[np.ndarray], classes: int, updates: int = UPDATES, seed: int = 3) -> dict[str, np.ndarray]:
+    """Weights of a gated recurrent unit that predicts each class of the sequences (each ending in END) from those before, in so many updates at least."""
+    lens = np.array([len(s) - 1 for s in sequences], np.int64)
+    k = np.concatenate([s[:-1] for s in sequences]) if sequences else np.zeros(0, np.uint8)
+    flat, first = _line(k, lens)
+    trainer = Trainer(untrained(classes, np.bincount(flat[~first], minlength=classes), seed))
+    while len(k) and trainer.updates < updates:
+        begun = trainer.updates
+        trainer.learn(flat, first, _lanes(len(flat), 50), lambda _, begun=begun: RATE * max(0.1, 1 - 0.9 * begun / updates))
+    return trainer.w
+
+
+def network(top: np.ndarray, counts: np.ndarray, endings: np.ndarray, words: np.ndarray, tokens: np.ndarray, ends: int) -> tuple[Network, np.ndarray, np.ndarray]:
+    """An untrained network, and words and tokens of each of its classes.
+
+    top, counts: frequent words' hashes and how often they occur, the most
+    frequent first; endings: their endings; words, tokens: of all words by
+    ending; ends: texts.
+    """
+    order = np.argsort(top, kind="stable")
+    top, counts, endings = top[order], counts[order], endings[order]
+    words, tokens = words - np.bincount(endings, minlength=1 << 16), tokens - np.bincount(endings, counts, 1 << 16).astype(np.int64)
+    frequent = np.argsort(-tokens, kind="stable")[: ENDINGS - 1]
+    frequent = frequent[tokens[frequent] > 0]
+    ending = np.full(1 << 16, len(top) + 1)  # all other endings
+    ending[frequent] = len(top) + 2 + np.arange(len(frequent))
+    in_words, in_tokens = (np.bincount(ending, x, 256).astype(np.int64) for x in (words, tokens))
+    in_words[1 : len(top) + 1], in_tokens[1 : len(top) + 1] = 1, counts
+    classes = len(top) + 2 + len(frequent)
+    seen = in_tokens[:classes].astype(float)
+    seen[END] = ends
+    net = Network(top, 1 + np.arange(len(top)), ending, untrained(classes, seen), int(seen.sum()))
+    return net, in_words, in_tokens
 
 
 def refine(rows: DataFrame, net: Network) -> dict[str, np.ndarray]:
-    """The network trained further on all rows (text), a partition each, and the results averaged by words.
+    """The network trained on all rows (text, part: 0 to 15), a partition each, and the results averaged by words, in rounds.
 
-    What is learnt from so grows with the input; weights are added up in blocks
-    on executors, so the driver gets one network.
+    All documents are learnt from once, and a small input's several times.  A
+    partition's text is classed in pieces; weights are added up in blocks on
+    executors, so the driver gets one network a round.
     """
-    held = shared.broadcast(rows.sparkSession, net)
-    names, shapes = zip(*((k, v.shape) for k, v in sorted(net.w.items())), strict=True)
+    tasks = min(rows.rdd.getNumPartitions(), max(1, -(-net.size // TASK_BYTES)))
+    rows, w, before = rows.coalesce(tasks), net.w, 0
+    for last in ROUNDS:
+        share = (last - before) / 16
+        w = _round(rows.filter(F.col("part").between(before, last - 1)).select("text"), net, w, max(1.0, net.tokens * share / tasks), before / 16, share)
+        before = last
+    return w
+
+
+def _round(rows: DataFrame, net: Network, w: dict[str, np.ndarray], expected: float, done: float, share: float) -> dict[str, np.ndarray]:
+    """One round: every row (text) is learnt from; expected: words of a partition, from which lanes and rates follow."""
+    held = shared.broadcast(rows.sparkSession, (net, w))
+    names, shapes = zip(*((k, v.shape) for k, v in sorted(w.items())), strict=True)
     cuts, blocks = np.cumsum([int(np.prod(x)) for x in shapes])[:-1], 16
+    epochs = max(1, min(8, round(UPDATES * 1536 / max(1, net.tokens))))
+    lanes = _lanes(expected * epochs, UPDATES)
 
     def train(batches):
-        texts, net = pa.concat_arrays([b.column(0) for b in batches] or [pa.array([], pa.string())]), held.value
-        w = C.words(texts, lower=True)
-        steps = len(w.start) // (LANES * WINDOW)
-        if steps:
-            k = classes_of(net, w)
-            found = train_network([np.append(k[a:z], END) for a, z in zip(w.off[:-1], w.off[1:], strict=True)], net.classes, steps, begin=net.w, rate=FINE_RATE)
-            flat = np.concatenate([found[x].reshape(-1) for x in names]).astype(np.float64) * len(w.start)
+        net, w = held.value
+        trainer, seen = Trainer(w), 0
+        for batch in batches:
+            _, off = C.raw(batch.column(0))
+            for a, z in C.blocks(off, CHUNK_BYTES):
+                text = C.words(batch.column(0).slice(a, z - a), lower=True)
+                flat, first = _line(classes_of(net, text), text.lens)
+                for _ in range(epochs):
+                    trainer.learn(flat, first, min(lanes, len(flat)), lambda more, seen=seen: RATE * max(0.1, 1 - 0.9 * (done + share * min(1.0, (seen + more) / expected))))
+                seen += len(text.start) + len(text.lens)
+        if seen:
+            flat = np.concatenate([trainer.w[x].reshape(-1) for x in names]).astype(np.float64) * seen
             body = [x.tobytes() for x in np.array_split(flat, blocks)]
             salt = TaskContext.get().partitionId() % 256
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), pa.array([float(len(w.start))] * blocks), pa.array(body, pa.binary())], ["block", "salt", "words", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), pa.array([float(seen)] * blocks), pa.array(body, pa.binary())], ["block", "salt", "words", "body"])
 
     def add(key, table):
         total = sum(np.frombuffer(x) for x in table.column("body").to_pylist())
@@ -186,7 +257,7 @@ def refine(rows: DataFrame, net: Network) -> dict[str, np.ndarray]:
     form = "block int, salt int, words double, body binary"
     parts = rows.mapInArrow(train, form).groupBy("block", "salt").applyInArrow(add, form).groupBy("block").applyInArrow(add, form).collect()  # 16 rows
     if not parts:
-        return net.w
+        return w
     flat = np.concatenate([np.frombuffer(r["body"]) / r["words"] for r in sorted(parts, key=lambda r: r["block"])])
     return {k: x.reshape(s).astype(np.float32) for k, x, s in zip(names, np.split(flat, cuts), shapes, strict=True)}
 
@@ -238,15 +309,18 @@ def class_scores(net: Network, docs: list[np.ndarray], lanes: int = SCORE_LANES)
     return out
 
 
-def _class_stats(bits: DataFrame) -> DataFrame:
-    """Sums of the owners' tables of words and tokens by class."""
+def _ending_stats(bits: DataFrame) -> DataFrame:
+    """Sums of the owners' tables of words and tokens by ending."""
 
     def add(batches):
-        got = np.zeros((2, 256), np.int64)
+        got = np.zeros((2, 1 << 16), np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                got += np.frombuffer(x, "<i8").reshape(2, 256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(got[0]), pa.array(got[1])], ["k", "words", "tokens"])
+                k, words, tokens = np.frombuffer(x, "<i8").reshape(3, -1)
+                got[0, k] += words
+                got[1, k] += tokens
+        at = np.flatnonzero(got[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(got[0, at]), pa.array(got[1, at])], ["k", "words", "tokens"])
 
     return bits.mapInArrow(add, "k int, words long, tokens long").groupBy("k").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
 
@@ -259,21 +333,14 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
     n_known: tokens that occur among those.  base_score: log10 probability of
     all tokens under smoothed frequencies; score: under the network.  A null
     is_train counts as false.  With no training rows all words are unknown and
-    the network is untrained.  About SAMPLE_DOCS training rows, drawn by a hash,
-    fix the classes and start the network, which is then trained on a share of
-    all training rows; all counts cover all training rows.  Only id, text and
-    the columns of is_train are read.
+    the network is untrained.  All training rows are counted, fix the classes
+    and train the network.  Only id, text and the columns of is_train are read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(is_train, F.lit(False)).alias("is_train"))
     size, trained = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("is_train")).first()
-    draw = F.pmod(F.xxhash64("id", "text", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    learnt = rows.filter("is_train AND length(text) > 0")
-    sample = [r["text"] for r in learnt.filter(draw < SAMPLE_DOCS / max(1, trained)).select("text").toLocalIterator()]
-    net = build(sorted(sample))
-    again = F.pmod(F.xxhash64("id", "text", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    net.w = refine(learnt.filter(again < SHARE).select("text"), net)
-    held = shared.broadcast(spark, net)  # of fixed size: some 10,000 weights and 65,536 endings
+    part = F.pmod(F.xxhash64("id", "text", F.lit(29)), F.lit(16))
+    learnt = rows.filter("is_train").select(F.coalesce("text", F.lit("")).alias("text"), part.alias("part"))
     rows, buckets = X.dealt(rows, size, "id", "text")
     n = X.owners(buckets)
 
@@ -282,7 +349,7 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
         h, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
         train = np.repeat(table.column("is_train").to_numpy(), w.lens)
         count = np.bincount(place, train, len(h)).astype("<u4")
-        kind = classes_of(held.value, w)[first].astype(np.uint8)
+        kind = _endings(w)[first].astype("<u2")
         if not n:
             body = [x.tobytes() + c.tobytes() + k.tobytes() for x, c, k in zip(h, count, kind, strict=True)]
             return pa.table({"owner": pa.array([-1] * len(h), pa.int32()), "b": pa.array(np.full(len(h), key[0].as_py()), pa.int32()), "payload": pa.array(body, pa.binary())})
@@ -292,16 +359,20 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
         return pa.table({"owner": pa.array(owners, pa.int32()), "b": pa.array(np.full(len(owners), key[0].as_py()), pa.int32()), "payload": pa.array(body, pa.binary())})
 
     def total(table):
-        """Answers, and in rows with b -1 the words and tokens of every class."""
-        parts = [(np.frombuffer(p, _U, k), np.frombuffer(p, "<u4", k, 8 * k), np.frombuffer(p, np.uint8, k, 12 * k)) for p in table.column("payload").to_pylist() for k in [len(p) // 13]]
+        """Answers, and in rows with b -1 the words and tokens of every ending (level 0) and the most frequent words (level 1)."""
+        parts = [(np.frombuffer(p, _U, k), np.frombuffer(p, "<u4", k, 8 * k), np.frombuffer(p, "<u2", k, 12 * k)) for p in table.column("payload").to_pylist() for k in [len(p) // 14]]
         h, count, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, first, place = np.unique(h, return_index=True, return_inverse=True)
+        known, first, place = np.unique(h, return_index=True, return_inverse=True)
         sums = np.bincount(place, count)
         back = np.split(np.minimum(sums, 2**32 - 1).astype("<u4")[place], np.cumsum([len(p[0]) for p in parts])[:-1])
         k = kind[first].astype(np.int64)
-        stats = np.stack([np.bincount(k, sums > 0, 256), np.bincount(k, sums, 256)]).astype("<i8")
+        words, tokens = np.bincount(k, sums > 0, 1 << 16), np.bincount(k, sums, 1 << 16)
+        at = np.flatnonzero(words)
+        most = np.argsort(-sums, kind="stable")[:TOP_WORDS]
+        most = most[sums[most] > 1]
+        stats = [np.stack([at, words[at], tokens[at]]).astype("<i8"), np.stack([known[most].view("<i8"), sums[most].astype("<i8"), k[most]])]
         owner = table.column("owner").to_pylist()
-        return pa.table({"b": pa.array([*table.column("b").to_pylist(), -1], pa.int32()), "owner": pa.array([*owner, owner[0]], pa.int32()), "level": pa.array([0] * (len(owner) + 1), pa.int32()), "bits": pa.array([*(x.tobytes() for x in back), stats.tobytes()], pa.binary())})
+        return pa.table({"b": pa.array([*table.column("b").to_pylist(), -1, -1], pa.int32()), "owner": pa.array([*owner, owner[0], owner[0]], pa.int32()), "level": pa.array([0] * (len(owner) + 1) + [1], pa.int32()), "bits": pa.array([*(x.tobytes() for x in back), *(x.tobytes() for x in stats)], pa.binary())})
 
     def pack(key, table):
         """The answer to a bucket whose words travelled as rows: hashes and totals."""
@@ -312,17 +383,28 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
     sent = rows.groupBy("b").applyInArrow(send, X.MESSAGE)
     if n:
         answers = shared.table(sent.groupBy("owner").applyInArrow(total, X.ANSWER))
-        stats = _class_stats(answers.filter("b = -1").select("bits"))
+        stats = _ending_stats(answers.filter("b = -1 AND level = 0").select("bits"))
+        found = [np.frombuffer(r["bits"], "<i8").reshape(3, -1) for r in answers.filter("b = -1 AND level = 1").select("bits").toLocalIterator()]  # TOP_WORDS of each owner
+        top, counts, kinds = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        top = top.view(_U)
     else:  # Spark groups the words of all buckets
-        number = F.reverse(F.substring("payload", 9, 4))
-        words = shared.table(sent.select("b", F.substring("payload", 1, 8).alias("h"), F.conv(F.hex(number), 16, 10).cast("long").alias("n"), F.conv(F.hex(F.substring("payload", 13, 1)), 16, 10).cast("int").alias("k")))
+        turned = lambda name, at, size: F.hex(F.concat(*[F.substring(name, at + i, 1) for i in reversed(range(size))]))  # noqa: E731  reverse() would keep bytes of one character together
+        number = lambda at, size: F.conv(turned("payload", at, size), 16, 10).cast("long")
+        words = shared.table(sent.select("b", F.substring("payload", 1, 8).alias("h"), number(9, 4).alias("n"), number(13, 2).alias("k")))
         totals = shared.table(words.groupBy("h").agg(F.sum("n").alias("n"), F.min("k").alias("k")).filter("n > 0"))
         answers = words.select("b", "h").join(totals.select("h", "n"), "h").groupBy("b").applyInArrow(pack, X.ANSWER)
         stats = totals.groupBy("k").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"))
-
-    in_words, in_tokens = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    for r in stats.collect():  # 256 rows
-        in_words[r["k"]], in_tokens[r["k"]] = r["words"], r["tokens"]
+        found = totals.filter("n > 1").orderBy(F.desc("n"), turned("h", 1, 8)).limit(TOP_WORDS).collect()
+        top, counts, kinds = np.frombuffer(b"".join(r["h"] for r in found), _U), np.array([r["n"] for r in found], np.int64), np.array([r["k"] for r in found], np.int64)
+
+    by_ending = np.zeros((2, 1 << 16), np.int64)
+    for r in stats.toLocalIterator():  # 65,536 rows at most
+        by_ending[:, r["k"]] = r["words"], r["tokens"]
+    most = np.lexsort((top, -counts))[:TOP_WORDS]
+    net, in_words, in_tokens = network(top[most], counts[most], kinds[most], *by_ending, trained)
+    net.size = size
+    net.w = refine(learnt, net)
+    held = shared.broadcast(spark, net)  # of fixed size: some 10,000 weights and 65,536 endings
     all_tokens = int(in_tokens.sum()) + trained
     all_words = int(in_words.sum()) + (1 if trained else 0)
 

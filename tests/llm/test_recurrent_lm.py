@@ -101,3 +101,54 @@ def test_better_than_frequencies_on_held_out_text(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in got)
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
     print("held out: base", sum(r.base_score for r in out), "network", sum(r.score for r in out))
+
+
+def brute_gradient(w, flat, first, at):
+    """Loss per word of a line from the start, and its slope in one weight."""
+    def loss(w):
+        net, total, words = R.Network(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(1, int), w), 0.0, 0
+        for doc in np.split(flat, np.flatnonzero(first)[1:]):
+            total -= brute_class_score(net, doc[1:-1])
+            words += len(doc) - 1
+        return total / words
+
+    name, place = at
+    up, down = ({k: v.astype(float) for k, v in w.items()} for _ in range(2))
+    up[name][place] += 1e-5
+    down[name][place] -= 1e-5
+    return (loss(up) - loss(down)) / 2e-5
+
+
+def test_gradients():
+    """The first update goes against the slope, in every kind of weight."""
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(1, 9, n) for n in (4, 0, 7, 9)]
+    flat, first = R._line(np.concatenate(docs), np.array([len(d) for d in docs]))
+    w = R.untrained(9)
+    trainer = R.Trainer(w)
+    trainer.learn(flat, first, 1, lambda _: 0.0)
+    for at in [("O", (3, 2)), ("bo", 4), ("U", (2, 5)), ("U", (1, 40)), ("U", (5, 60)), ("W", (0, 3)), ("W", (6, 30)), ("W", (4, 70))]:
+        want = brute_gradient(w, flat, first, at)
+        assert math.isclose(trainer.m[at[0]][at[1]] * 10, want, rel_tol=2e-2, abs_tol=2e-5), (at, want)
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 16])
+def test_every_word_is_learnt_once(lanes, monkeypatch):
+    docs = [np.full(n, 1 + n % 5) for n in (0, 1, 100, 33, 7)]
+    flat, first = R._line(np.concatenate(docs), np.array([len(d) for d in docs]))
+    seen = []
+    monkeypatch.setattr(R.Trainer, "_update", lambda self, h, inputs, goals, scored, *_: seen.extend(goals[scored].tolist()) or h)
+    R.Trainer(R.untrained(9)).learn(flat, first, lanes, lambda _: 0.01)
+    assert sorted(seen) == sorted(np.concatenate([*docs, [R.END] * len(docs)]).tolist())
+
+
+def test_all_training_documents_fix_classes_and_network(spark, monkeypatch):
+    """Far more documents than were once drawn: each of their words is counted for the classes, and each document reaches the trainer."""
+    rows = spark.range(3000).select(F.concat(F.lit("w"), F.col("id") % 100, F.lit(" x"), F.col("id")).alias("text"), F.col("id").alias("doc_id"))
+    nets, given, refine = [], [], R.refine
+    monkeypatch.setattr(R, "refine", lambda r, net: nets.append(R.Network(net.top, net.top_class, net.ending, net.w, net.tokens)) or given.append(r.cache()) or refine(r, net))
+    got = R.score(rows, F.lit(True))
+    assert given[0].count() == 3000 and len(nets[0].top) == 80 and nets[0].tokens == 9000
+    assert (nets[0].w["bo"][nets[0].top_class] == pytest.approx(math.log(30.5 / (9000 + nets[0].classes / 2)), abs=1e-4))
+    rounds = [given[0].filter(F.col("part").between(a, z - 1)).count() for a, z in zip((0, *R.ROUNDS), R.ROUNDS, strict=False)]
+    assert sum(rounds) == 3000 and got.filter("score < 0").count() == 3000
