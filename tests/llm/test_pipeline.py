@@ -80,3 +80,20 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(path)
     for name, stage in P.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_decontamination_sums_cover_all_rows_of_a_stage(spark, monkeypatch, tmp_path):
+    """The fit of the fourth stage reads every row it is given, not a draw of them, in one scan for several passes."""
+    from pyspark.sql import functions as F
+
+    from plansheet.llm import decontamination as D
+
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta w"), F.col("id") % 50, F.lit(" gamma w"), F.col("id") % 7).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha w3 delta"), (2, "beta w5 epsilon")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(D, "ITEMS_PER_PASS", 1)
+    read, sums = [], D._sum_over
+    monkeypatch.setattr(D, "_sum_over", lambda df, *rest: read.append((df.count(), [len(x) for x in rest])) or sums(df, *rest))
+    P.drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count()
+    assert [k for k, _ in read] == [n] and read[0][1] == [2]
