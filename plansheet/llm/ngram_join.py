@@ -43,8 +43,12 @@ BAND, CHANCE, WEIGHT = 1.4, 0.3, 5.0
 BROADCAST_ROWS = 100_000
 #: Links that one task joins at most.
 SMALL_LINKS = 200_000
+#: Rows that a round of passing over signatures must leave at most, as a share of those before, for another one to follow.
+LESS = 0.95
 #: Classes in a block, on average.
 BLOCK = 256
+#: Buckets for each file of a table that has a few bytes for each document.
+BUCKETS_PER_FILE = 16
 
 _U = np.uint64
 
@@ -137,6 +141,11 @@ def _all_signatures(found: dict[bytes, np.ndarray], num: int, den: int):
     return each, np.concatenate([np.zeros(0, _U), *(sigs for bands_ in each for sigs, _ in bands_)])
 
 
+def _gathered(df: DataFrame, buckets: int) -> DataFrame:
+    """The same few rows in few partitions, so that few files are written: where files are local, each has the executor start processes that set its mode."""
+    return df.repartition(-(-buckets // BUCKETS_PER_FILE))
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, n: int):
     """(bucketed rows, number of buckets, table of b, id, n_shingles, c)."""
     rows, buckets = X.bucketed(docs, id_col, text_col)
@@ -146,7 +155,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int):
         return pa.table({"b": table.column("b"), "id": table.column("id"), "n_shingles": pa.array([len(h) for h in sets], pa.int64()), "c": pa.array([_class(h) for h in sets], pa.binary())})
 
     schema = T.StructType([T.StructField("b", T.IntegerType()), rows.schema["id"], T.StructField("n_shingles", T.LongType()), T.StructField("c", T.BinaryType())])
-    return rows, buckets, shared.table(rows.groupBy("b").applyInArrow(name, schema))
+    return rows, buckets, shared.table(_gathered(rows.groupBy("b").applyInArrow(name, schema), buckets))
 
 
 def candidates(rows: DataFrame, buckets: int, info: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -314,7 +323,7 @@ def _telling(left: DataFrame, cut) -> DataFrame:
         held = rows.drop("f").join(open_, "s")
         enough = held.groupBy("c", "band").agg(F.count(F.lit(1)).alias("u"), F.max("need").alias("least")).filter("u >= least").select("c", "band", "u")
         rows = cut(held.drop("u").join(enough, ["c", "band"]))
-        if (now := rows.count()) == size:
+        if (now := rows.count()) >= LESS * (size or 2 * now):
             break
         size = now
     rarest = Window.partitionBy("c", "band").orderBy("f", "s")
@@ -323,18 +332,18 @@ def _telling(left: DataFrame, cut) -> DataFrame:
     return cut(first.join(open_, "s", "left_semi"))
 
 
-def linked_components(found: DataFrame, num: int, den: int, cut) -> DataFrame:
+def linked_components(found: DataFrame, num: int, den: int, cut, buckets: int = 1) -> DataFrame:
     """(c, root) of all candidate classes that have a link."""
-    spot = cut(found.select("c", "n", "weight", F.explode(F.arrays_zip("sigs", "needs")).alias("x")).select("c", "n", "weight", F.col("x.sigs").alias("s"), (F.col("x.needs") % 2).alias("band"), F.floor(F.col("x.needs") / 2).cast("int").alias("need")))
+    spot = found.select("c", "n", "weight", F.explode(F.arrays_zip("sigs", "needs")).alias("x")).select("c", "n", "weight", F.col("x.sigs").alias("s"), (F.col("x.needs") % 2).alias("band"), F.floor(F.col("x.needs") / 2).cast("int").alias("need"))
     leader = cut(spot.groupBy("s").agg(F.max(F.struct("weight", "c", "n")).alias("lead")))
     met = spot.join(leader, "s").filter("c <> lead.c").filter(F.greatest("n", "lead.n") * num <= F.least("n", "lead.n") * den)
     met = met.groupBy(F.col("c").alias("a")).agg(F.max("lead").alias("lead")).select("a", F.col("lead.c").alias("z"))
-    links = cut(_verified(met, found, num, den))
+    links = cut(_gathered(_verified(met, found, num, den), buckets))
     roots = components(links)
 
     few = roots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    left = cut(spot.select("c", "s", "band", "need").join(F.broadcast(roots) if few else roots, "c", "left").withColumn("root", F.coalesce("root", "c")))
-    undone = _telling(left, cut)
+    left = spot.select("c", "s", "band", "need").join(F.broadcast(roots) if few else roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    undone = _telling(left if few else cut(left), cut)
     if not undone.limit(1).count():
         return roots
     # classes that buckets connect form groups; a group is compared in pairs of bounded blocks
@@ -345,7 +354,7 @@ def linked_components(found: DataFrame, num: int, den: int, cut) -> DataFrame:
     rows = rows.join(found.select("c", "members"), "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("group", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "c", "root", "members")
-    more = cut(rows.groupBy("group", "p", "q").applyInArrow(_compare_blocks(num, den), "a binary, z binary"))
+    more = cut(_gathered(rows.groupBy("group", "p", "q").applyInArrow(_compare_blocks(num, den), "a binary, z binary"), buckets))
     return components(links.unionByName(more)) if more.limit(1).count() else roots
 
 
@@ -364,11 +373,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("0 < num < den is needed")
     rows, buckets, info = classes(docs, id_col, text_col, n)
     with shared.scratch(docs.sparkSession) as cut:
-        roots = linked_components(cut(candidates(rows, buckets, info, n, num, den)), num, den, cut)
+        roots = linked_components(cut(candidates(rows, buckets, info, n, num, den)), num, den, cut, buckets)
     own = info.filter("n_shingles > 0").groupBy("c").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"))
     rooted = own.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("component_rows"))
-    named = shared.table(rooted.select("c", "root").join(lows, "root").select("c", "component_id", "component_rows"))
+    named = shared.table(_gathered(rooted.select("c", "root").join(lows, "root").select("c", "component_id", "component_rows"), buckets))
     full = info.filter("n_shingles > 0").join(named, "c").select("id", "n_shingles", "component_id", "component_rows")
     empty = info.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(1).cast("long").alias("component_rows"))
     return full.unionByName(empty).withColumnRenamed("id", id_col)

@@ -1,3 +1,4 @@
+import pathlib
 import random
 import re
 
@@ -6,6 +7,7 @@ import pytest
 
 from plansheet.llm import exchange as X
 from plansheet.llm import ngram_join as J
+from plansheet.llm import shared
 
 SCHEMA = "text string, doc_id long, c string, b string, n long"
 
@@ -97,3 +99,24 @@ def test_long_paths_and_empty_table(spark, monkeypatch, small):
     got = J.components(spark.createDataFrame(pairs, "a binary, z binary")).collect()
     assert {bytes(r.root) for r in got if bytes(r.c) < b"x"} == {b"000"} and len(got) == 43
     assert J.jaccard_components(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_tables_of_a_few_bytes_a_document_have_few_files(spark, monkeypatch):
+    """One file for each 16 buckets, not one for each bucket, and no table of what is read once."""
+    monkeypatch.setattr(X, "BUCKET_BYTES", 1 << 13)
+    rng = random.Random(7)
+    base = [" ".join(f"w{rng.randrange(4000)}" for _ in range(60)) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(base + [t + f" end{i}" for i, t in enumerate(base)] + base[:20])], "doc_id long, text string")
+    buckets, found, write = -(-X.text_bytes(docs, "text") // X.BUCKET_BYTES), [], shared.write
+    assert buckets > 12
+
+    def written(df, path):
+        write(df, path)
+        found.append((df.columns, len(list(pathlib.Path(path.removeprefix("file:")).glob("part-*")))))
+
+    monkeypatch.setattr(shared, "write", written)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs).collect()}
+    assert got == {i: i % 150 for i in range(320)}
+    small = [n for columns, n in found if columns in (["b", "id", "n_shingles", "c"], ["a", "z"], ["c", "component_id", "component_rows"])]
+    assert len(small) >= 3 and max(small) <= -(-buckets // 16)
+    assert ["c", "n", "weight", "s", "band", "need"] not in [columns for columns, _ in found]
