@@ -9,8 +9,10 @@ corrected risk
 
 by Adam on large mini-batches; where the bracket is negative on one, only the
 first term has a gradient.  Features are those that confirmed toxic documents
-hold much more often than all documents do, as counted over the whole table;
-the driver gets counts and the bits of sampled documents, no texts.
+hold much more often than all documents do, as counted over the whole table.
+All learning rows are dealt over groups of bounded size, each learns on
+executors, and the model is the groups' average; the driver gets counts and
+weights, no texts.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from pyspark.sql import types as T
 from . import shared
 from . import textcore as C
 
-#: Labelled positives, and other documents of the mini-batches, in expectation (how often a feature occurs is counted in all documents); features kept.
+#: Labelled positives and other documents of a group, in expectation; features kept.
 MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 3000, 9000, 1024
+#: Ids of positives that are broadcast at most (32 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 #: Share of the positives that must hold a feature (5 documents at least).
 MIN_SHARE = 0.005
 #: Mini-batches of about 3000 unlabelled documents.
@@ -72,8 +76,9 @@ def telling(features: np.ndarray, in_positive: np.ndarray, positives: int, in_al
     return np.sort(features[chosen[z[chosen] > 5]])
 
 
-def _frequent(count: np.ndarray, positives: int) -> np.ndarray:
-    return count >= max(5, MIN_SHARE * positives)
+def _least(positives: int) -> float:
+    """Positives that must hold a feature."""
+    return max(5, MIN_SHARE * positives)
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, seed: int = 5) -> Model:
@@ -82,7 +87,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         return np.unique(np.concatenate(docs), return_counts=True) if docs else (np.zeros(0, np.uint64), np.zeros(0, int))
 
     (fp, cp), (fu, cu) = count(positive), count(unlabelled)
-    keep = _frequent(cp, len(positive))
+    keep = cp >= _least(len(positive))
     fp, cp = fp[keep], cp[keep]
     at = np.minimum(np.searchsorted(fu, fp), max(0, len(fu) - 1))
     in_u = np.where(fu[at] == fp, cu[at], 0) if len(fu) and len(fp) else np.zeros(len(fp))
@@ -119,9 +124,12 @@ def learn(chosen: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float, seed
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Learn from docs (the learning rows only) and labels.
 
-    About max_positive documents with label 1 and max_unlabelled others are
-    drawn by a hash of the id (all, if there are fewer; rows without an id are
-    not drawn); how often features occur at large is counted in all documents.  prior: the share
+    Every row with a text is learnt from.  Rows are dealt by a hash over groups
+    of about max_unlabelled documents without label 1; the documents with label
+    1 are dealt over blocks of about max_positive, and each group learns from
+    one block, each block with as many groups as the others (one more or less).
+    The model is the groups' average, weighted by their documents without label
+    1.  Rows without an id have no label.  prior: the share
     of toxic documents among all but the known positives; if None, rows without
     a label are taken to be toxic as often as labelled ones.  It is kept within
     0.02 and 0.5.  Several labels for one id:
@@ -135,59 +143,93 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = n["positive"] / n["labelled"] if n["labelled"] else 0.05
         prior = share * (n["all"] - n["labelled"]) / max(1, n["all"] - n["positive"])
     prior = min(0.5, max(0.02, prior))
-    is_positive = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = ids.filter(draw < F.when(is_positive, max_positive / max(1, n["positive"])).otherwise(max_unlabelled / max(1, n["all"] - n["positive"])))
-    picked = picked.groupBy("id").agg(F.max(is_positive).alias("positive"))
-    sample = shared.table(rows.join(F.broadcast(picked), "id").select("positive", "text"))  # max_positive + max_unlabelled ids in expectation, whatever the input
-
-    def positives(batches):
-        """Features that enough of the positives hold, and how many do; copies aren't independent evidence, so equal feature sets count once."""
-        sets = {}
-        for part in _slices(batches):
-            h, off = _features(part.column(0))
-            for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                own = np.unique(h[a:z])
-                sets[own[:3].tobytes()] = own
-        f, c = np.unique(np.concatenate([*sets.values(), np.zeros(0, np.uint64)]), return_counts=True)
-        keep = _frequent(c, len(sets))
-        yield pa.RecordBatch.from_arrays([pa.array([len(sets)], pa.int64()), pa.array([f[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], ["n", "features", "counts"])
-
-    # one task reads the sampled positives
-    found = sample.filter("positive").select("text").repartition(1).mapInArrow(positives, "n long, features binary, counts binary").collect()
-    empty = np.zeros(0, np.uint64)
-    features, in_positive = (np.concatenate([empty, *(np.frombuffer(r[c], np.uint64) for r in found)]) for c in ("features", "counts"))
-    held = shared.broadcast(docs.sparkSession, features)  # some 1 / MIN_SHARE times the features of a document
-
-    def count(batches):
-        features, total = held.value, np.zeros(len(held.value), np.int64)
-        for part in _slices(batches):
-            total += _present(features, part.column(0)).sum(0)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["k", "n"])
-
-    in_all = np.zeros(len(features), np.int64)
-    if len(features):
-        for r in rows.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each feature
-            in_all[r["k"]] = r["n"]
-    chosen = telling(features, in_positive.astype(np.int64), sum(r["n"] for r in found), in_all, n["all"])
-
-    def bits(batches):
-        for part in _slices(batches):
-            x = _present(chosen, part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["positive", "bits"])
-
-    drawn: dict[bool, list[bytes]] = {True: [], False: []}
-    for r in sample.mapInArrow(bits, "positive boolean, bits binary").toLocalIterator():
-        drawn[r["positive"]].append(bytes(r["bits"]))
-
-    def matrix(rows: list[bytes]) -> np.ndarray:
-        if not rows or not len(chosen):
-            return np.zeros((len(rows), len(chosen)), np.float32)
-        packed = np.frombuffer(b"".join(sorted(rows)), np.uint8).reshape(len(rows), -1)
-        return np.unpackbits(packed, axis=1, count=len(chosen)).astype(np.float32)
-
-    return learn(chosen, matrix(drawn[True]), matrix(drawn[False]), prior)
+    toxic = known.filter("toxic = 1").select("id", F.lit(True).alias("positive"))
+    few = toxic.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    spark = docs.sparkSession
+    shared.pin_splits(spark)
+    draw = F.xxhash64("id", "text", F.spark_partition_id())  # as buckets are dealt: no id and no repeated row is hot
+    told = rows.withColumn("draw", draw).join(F.broadcast(toxic) if few else toxic, "id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    with shared.scratch(spark) as cut:
+        # copies aren't independent evidence, so equal feature sets count once
+        once = cut(told.filter("positive").select("text").mapInArrow(_named, "name binary, text string").groupBy("name").agg(F.min("text").alias("text")).select("text"))
+        sets = once.count()
+        counts = once.mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+        found = counts.filter(F.col("n") >= _least(sets)).collect()  # some 1 / MIN_SHARE times the features of a document
+        features, in_positive = np.array([r["feature"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+        order = np.argsort(features)
+        features, in_positive = features[order], in_positive[order]
+        held = shared.broadcast(spark, features)
+
+        def count(batches):
+            features, total = held.value, np.zeros(len(held.value), np.int64)
+            for part in _slices(batches):
+                total += _present(features, part.column(0)).sum(0)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["k", "n"])
+
+        in_all = np.zeros(len(features), np.int64)
+        if len(features):
+            for r in rows.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each feature
+                in_all[r["k"]] = r["n"]
+        chosen = telling(features, in_positive, sets, in_all, n["all"])
+        constant = Model(chosen, np.zeros(len(chosen)), float(np.log(prior / (1 - prior))))
+        if not n["positive"] or n["positive"] == n["all"]:
+            return constant
+
+        def bits(batches):
+            for part in _slices(batches):
+                x = _present(chosen, part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in np.packbits(x, axis=1)], pa.binary())], ["positive", "draw", "bits"])
+
+        dealt = told.select("positive", "draw", "text").mapInArrow(bits, "positive boolean, draw long, bits binary")
+        blocks = -(-n["positive"] // max_positive)
+        groups = max(blocks, -(-(n["all"] - n["positive"]) // max_unlabelled))
+        block = F.pmod("draw", F.lit(blocks)).cast("int")
+        of = F.when(F.col("positive"), F.sequence(block, F.lit(groups - 1), F.lit(blocks))).otherwise(F.array(F.pmod("draw", F.lit(groups)).cast("int")))
+
+        def learned(key, table):
+            sides = []
+            for positive in (True, False):
+                own = [b for b, p in zip(table.column("bits").to_pylist(), table.column("positive").to_pylist(), strict=True) if p == positive]
+                packed = np.frombuffer(b"".join(sorted(own)), np.uint8).reshape(len(own), -(-len(chosen) // 8))
+                sides.append(np.unpackbits(packed, axis=1, count=len(chosen)).astype(np.float32) if len(chosen) else np.zeros((len(own), 0), np.float32))
+            m = learn(chosen, *sides, prior)
+            size = len(sides[1]) if len(sides[0]) else 0
+            return pa.table({"group": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([size], pa.int64()), "body": pa.array([np.append(m.weights, m.bias).tobytes()], pa.binary())})
+
+        # few bytes but seconds of work for a group, so Spark mustn't put many in one task
+        each = dealt.select(F.explode(of).alias("group"), "positive", "bits").repartition(min(2 * groups, 1 << 16), "group")
+        models = cut(each.groupBy("group").applyInArrow(learned, "group int, n long, body binary"))
+        total, weight = np.zeros(len(chosen) + 1), 0
+        for r in models.orderBy("group").toLocalIterator():  # 8 KB for each group
+            total, weight = total + r["n"] * np.frombuffer(r["body"], np.float64), weight + r["n"]
+    return Model(chosen, total[:-1] / weight, float(total[-1] / weight)) if weight else constant
+
+
+def _named(batches):
+    """Texts with the smallest hashes of their features."""
+    for part in _slices(batches):
+        h, off = _features(part.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([np.unique(h[a:z])[:3].tobytes() for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary()), part.column(0)], ["name", "text"])
+
+
+def _counts(batches):
+    """Features and how many texts hold them, added up while they are not too many."""
+    f, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c)], ["feature", "n"])
+
+    for part in _slices(batches):
+        h, off = _features(part.column(0))
+        own = np.concatenate([np.zeros(0, np.uint64), *(np.unique(h[a:z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))])
+        new, place = np.unique(np.concatenate([f, own]), return_inverse=True)
+        c = np.bincount(place, np.append(c, np.ones(len(own), np.int64)), len(new)).astype(np.int64)
+        f = new
+        if len(f) > 1 << 20:
+            yield out()
+            f, c = f[:0], c[:0]
+    yield out()
 
 
 def _slices(batches, rows: int = 500):

@@ -104,6 +104,30 @@ def test_positive_unlabelled_learning_finds_hidden_positives():
     assert rate(sets(toxic, 500)) > 0.95 and rate(sets(plain, 500)) < 0.02
 
 
+def test_toxicity_learns_from_every_document(spark):
+    """Features are counted in all positives, and each document, however many there are, has its part in the weights."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    plain = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 3)) for _ in range(12))
+    toxic = [plain() + (" vermin" if i % 2 else " scum") + (" rogue" if i % 7 == 0 else "") for i in range(200)]
+    other = [plain() + (" scum" if i % 40 == 0 else "") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+
+    def fit(texts):
+        return toxicity.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels, max_positive=20, max_unlabelled=40)
+
+    m = fit(toxic + other)
+    assert all(toxicity._features(pa.array([w]))[0][0, 0] in m.features for w in ("vermin", "scum", "rogue"))
+    last = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30))
+    at = spark.range(201, 600).filter("id % 40 <> 0").orderBy(last.desc()).first()[0]  # no draw by this hash of the id took it
+    changed = toxic + other
+    changed[at] += " vermin"
+    again, other_doc = fit(toxic + other), fit(changed)
+    assert np.array_equal(m.weights, again.weights) and np.array_equal(m.features, other_doc.features)
+    assert not np.array_equal(m.weights, other_doc.weights)
+
+
 def test_toxicity_score_equals_a_plain_reading(spark):
     """The registered query's score is the logistic of the weights of the words and word beginnings that a text holds."""
     from pyspark.sql import functions as F
