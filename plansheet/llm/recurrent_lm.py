@@ -38,8 +38,8 @@ TOP_WORDS, ENDINGS, HIDDEN = 80, 47, 24
 UPDATES, LANES, WINDOW, RATE = 500, 256, 32, 0.01
 #: Rounds end behind these parts (of 16, by a hash) of the training documents; a task's text bytes in a small input; bytes classed at a time.
 ROUNDS, TASK_BYTES, CHUNK_BYTES = (1, 16), 16 << 20, 4 << 20
-#: Lanes in scoring.
-SCORE_LANES = 512
+#: Lanes in scoring; states whose classes are worked on at a time (results don't depend on either).
+SCORE_LANES, BLOCK_ROWS = 512, 1024
 END = 0  # class of the end of a text; also what a document starts from
 
 _U = np.uint64
@@ -73,12 +73,20 @@ def classes_of(net: Network, w: C.Words) -> np.ndarray:
     return out
 
 
+def _distinct(w: C.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, each word's place among them, and a word of each."""
+    h, place = np.unique(w.hash, return_inverse=True)
+    one = np.empty(len(h), np.int64)
+    one[place] = np.arange(len(place))
+    return h, place, one
+
+
 def _sig(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
 def _step(h: np.ndarray, x: np.ndarray, w: dict[str, np.ndarray], n: int):
-    """Gates and next state; x: the input's share of all three."""
+    """Gates and next state, as defined; x: the input's share of all three.  Cell does the same in fewer passes, and tests compare both."""
     a = _sig(x[:, : 2 * n] + h @ w["U"][:, : 2 * n])
     z, r = a[:, :n], a[:, n:]
     rh = r * h
@@ -86,6 +94,45 @@ def _step(h: np.ndarray, x: np.ndarray, w: dict[str, np.ndarray], n: int):
     return z, r, rh, c, h + z * (c - h)
 
 
+class Cell:
+    """The unit's steps on whole arrays of one gate after the other, written into arrays that are there."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        by_gate = lambda x: x.reshape(len(x), 3, -1).transpose(1, 0, 2).copy()
+        self.inputs, self.u = by_gate(w["W"]), by_gate(w["U"])
+        self.back = self.u.transpose(0, 2, 1).copy()
+        for x in (self.inputs, self.u):  # a sigmoid takes the exponential of minus its argument
+            np.negative(x[:2], out=x[:2])
+        self.out = np.concatenate([w["O"], w["bo"][None]])  # for states with a one behind them
+        self.ones = np.ones(len(w["bo"]), self.out.dtype)
+        #: States lie in -1 to 1: with such weights all logits do in -40 to 40, and the greatest needn't be taken off before exponentials.
+        self.small = bool(np.abs(self.out).sum(0).max() < 40)
+
+    def step(self, h, x, gates, rh, c, new) -> None:
+        """From states h and the inputs' shares x (by gate) to both gates, the reset state, the candidate and the next state."""
+        np.matmul(h, self.u[:2], out=gates)
+        gates += x[:2]
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        np.multiply(gates[1], h, out=rh)
+        np.matmul(rh, self.u[2], out=c)
+        c += x[2]
+        np.tanh(c, out=c)
+        np.subtract(c, h, out=new)
+        new *= gates[0]
+        new += h
+
+    def logits(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states with a one behind each, and logits of all classes, whose exponentials can be added up."""
+        s = np.empty((len(states), len(self.out)), states.dtype)
+        s[:, :-1], s[:, -1] = states, 1
+        p = s @ self.out
+        if not self.small:
+            p -= p.max(1, keepdims=True)
+        return s, p
+
+
 def untrained(classes: int, counts: np.ndarray | None = None, seed: int = 3) -> dict[str, np.ndarray]:
     """Random weights; counts: how often each class occurs."""
     rng, n = np.random.default_rng(seed), HIDDEN
@@ -107,8 +154,12 @@ class Trainer:
     """Trains weights by back-propagation truncated to windows; every class of a line that isn't a document's beginning is learnt once per call of learn()."""
 
     def __init__(self, w: dict[str, np.ndarray]):
-        self.w = {k: x.astype(np.float32) for k, x in w.items()}
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        #: Weights, slopes and their averages lie in one vector each; w, grad and m are views by name.
+        self.flat = np.zeros((4, sum(x.size for x in w.values())), np.float32)
+        ends = np.cumsum([x.size for x in w.values()])[:-1]
+        self.w, self.grad, self.m = ({k: x.reshape(w[k].shape) for k, x in zip(w, np.split(y, ends), strict=True)} for y in self.flat[:3])
+        for k, x in w.items():
+            self.w[k][:] = x
         self.updates = 0
 
     def learn(self, flat: np.ndarray, first: np.ndarray, lanes: int, rate) -> None:
@@ -124,49 +175,69 @@ class Trainer:
                 h = self._update(h, inputs[at:z], goals[at:z], scored[at:z], ~resets[at:z], rate(min(at * lanes, len(flat))))
 
     def _update(self, h, inputs, goals, scored, goes_on, rate):
-        w, n, (steps, lanes) = self.w, HIDDEN, inputs.shape
-        into = w["W"][inputs]
-        old, z, r, rh, c, new = (np.empty((steps, lanes, n), np.float32) for _ in range(6))
+        cell, n, (steps, lanes) = Cell(self.w), HIDDEN, inputs.shape
+        into, ends, some = np.take(cell.inputs, inputs, axis=1), ~goes_on, ~goes_on.all(1)
+        old, rh, c, new = (np.empty((steps, lanes, n), np.float32) for _ in range(4))
+        gates = np.empty((2, steps, lanes, n), np.float32)
         for t in range(steps):
-            old[t] = h * goes_on[t][:, None]
-            z[t], r[t], rh[t], c[t], h = _step(old[t], into[t], w, n)
-            new[t] = h
-        states = new.reshape(-1, n)
-        p = states @ w["O"]
-        p += w["bo"]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        mask = scored.reshape(-1) / np.float32(max(1, scored.sum()))
-        p *= (mask / p.sum(1))[:, None]
-        p[np.arange(len(p)), goals.reshape(-1)] -= mask
-        grad = {"O": states.T @ p, "bo": p.sum(0)}
-        back, gates = (p @ w["O"].T).reshape(steps, lanes, n), np.empty((steps, lanes, 3 * n), np.float32)
-        u_gates, u_state, d_next = np.ascontiguousarray(w["U"][:, : 2 * n].T), np.ascontiguousarray(w["U"][:, 2 * n :].T), np.zeros((lanes, n), np.float32)
-        dz_by, dr_by, dc_by = (c - old) * z * (1 - z), old * r * (1 - r), z * (1 - c * c)
+            old[t] = h
+            if some[t]:
+                old[t][ends[t]] = 0
+            cell.step(old[t], into[:, t], gates[:, t], rh[t], c[t], new[t])
+            h = new[t]
+        grad = self.grad
+        back = self._classes(cell, new.reshape(-1, n), goals.reshape(-1), scored.reshape(-1) / np.float32(max(1, scored.sum())), grad).reshape(steps, lanes, n)
+        z, r = gates
+        kept, slope = 1 - z, into  # the inputs' shares aren't needed any more
+        dz_by, dr_by, dc_by = (c - old) * z * kept, old * r * (1 - r), z * (1 - c * c)
+        d_next, drh, through = np.zeros((lanes, n), np.float32), np.empty((lanes, n), np.float32), np.empty((2, lanes, n), np.float32)
         for t in range(steps - 1, -1, -1):
-            d = back[t] + d_next
-            g = gates[t]
-            np.multiply(d, dc_by[t], out=g[:, 2 * n :])
-            drh = g[:, 2 * n :] @ u_state
-            np.multiply(d, dz_by[t], out=g[:, :n])
-            np.multiply(drh, dr_by[t], out=g[:, n : 2 * n])
-            d_next = (d * (1 - z[t]) + drh * r[t] + g[:, : 2 * n] @ u_gates) * goes_on[t][:, None]
-        flat = gates.reshape(-1, 3 * n)
-        grad["U"] = np.concatenate([old.reshape(-1, n).T @ flat[:, : 2 * n], rh.reshape(-1, n).T @ flat[:, 2 * n :]], 1)
+            d = back[t]
+            d += d_next
+            np.multiply(d, dc_by[t], out=slope[2, t])
+            np.matmul(slope[2, t], cell.back[2], out=drh)
+            np.multiply(d, dz_by[t], out=slope[0, t])
+            np.multiply(drh, dr_by[t], out=slope[1, t])
+            np.matmul(slope[:2, t], cell.back[:2], out=through)
+            np.multiply(d, kept[t], out=d_next)
+            drh *= r[t]
+            d_next += drh
+            d_next += through[0]
+            d_next += through[1]
+            if some[t]:
+                d_next[ends[t]] = 0
+        flat = slope.reshape(3, -1, n)
+        np.concatenate([*(old.reshape(-1, n).T @ flat[:2]), rh.reshape(-1, n).T @ flat[2]], 1, out=grad["U"])
         seen = inputs.reshape(-1)
         order = np.argsort(seen, kind="stable")
         cut = np.flatnonzero(np.append(True, np.diff(seen[order]) != 0))
-        grad["W"] = np.zeros_like(w["W"])
-        grad["W"][seen[order[cut]]] = np.add.reduceat(flat[order], cut, axis=0)
+        grad["W"][:] = 0
+        grad["W"][seen[order[cut]]] = np.add.reduceat(np.take(flat, order, axis=1), cut, axis=1).transpose(1, 0, 2).reshape(len(cut), -1)
         self.updates += 1
-        norm = np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grad.values()))
-        for k, g in grad.items():
-            g *= np.float32(min(1.0, 1.0 / (norm + 1e-12)))
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-            w[k] -= np.float32(rate) * (self.m[k] / (1 - 0.9**self.updates)) / (np.sqrt(self.v[k] / (1 - 0.99**self.updates)) + np.float32(1e-8))
+        weights, g, m, v = self.flat
+        g *= np.float32(min(1.0, 1.0 / (np.linalg.norm(g.astype(np.float64)) + 1e-12)))
+        m += np.float32(0.1) * (g - m)
+        v += np.float32(0.01) * (g * g - v)
+        weights -= np.float32(rate / (1 - 0.9**self.updates)) * m / (np.sqrt(v / np.float32(1 - 0.99**self.updates)) + np.float32(1e-8))
         return h
 
+    @staticmethod
+    def _classes(cell: Cell, states, goals, weight, grad) -> np.ndarray:
+        """The loss's slope in the states, in blocks that stay in a core's cache; its slopes in O and bo go to grad."""
+        out, back, total = np.empty_like(states), np.ascontiguousarray(cell.out[:-1].T), np.zeros_like(cell.out)
+        for a in range(0, len(states), BLOCK_ROWS):
+            s, k, mask = (x[a : a + BLOCK_ROWS] for x in (states, goals, weight))
+            s, p = cell.logits(s)
+            np.exp(p, out=p)
+            sums = p @ cell.ones
+            p[np.arange(len(p)), k] -= sums
+            scale = (mask / sums)[:, None]  # of p; states and slopes are narrower
+            s *= scale
+            total += s.T @ p
+            out[a : a + BLOCK_ROWS] = (p @ back) * scale
+        grad["O"][:], grad["bo"][:] = total[:-1], total[-1]
+        return out
+
 
 def _lanes(words: float, updates: int) -> int:
     """Lanes with which so many words make about so many updates."""
@@ -282,31 +353,28 @@ def class_scores(net: Network, docs: list[np.ndarray], lanes: int = SCORE_LANES)
     first = np.append(True, owner[1:] != owner[:-1])
     begin = np.cumsum(size) - size
 
-    h, before = np.zeros((lanes, n), net.w["W"].dtype), np.zeros(lanes, np.uint8)
-    for at in range(0, size[0], 64):
-        z = min(at + 64, size[0])
+    cell, kind = Cell(net.w), net.w["W"].dtype
+    h, before, got, at = np.zeros((lanes, n), kind), np.zeros(lanes, np.uint8), np.empty(len(goal), kind), 0
+    while at < size[0]:
         live = int((size > at).sum())
-        h = h[:live]
-        states = np.empty((z - at, live, n), h.dtype)
-        place = begin[None, :live] + np.minimum(np.arange(at, z)[:, None], size[None, :live] - 1)
+        z = min(at + max(1, min(64, BLOCK_ROWS // live)), int(size[live - 1]))  # no lane ends before z
+        place = begin[None, :live] + np.arange(at, z)[:, None]
         goals, reset = goal[place], first[place]
         seen = np.concatenate([before[None, :live], goals[:-1]])
         seen[reset] = END
-        before = goals[-1]
-        into = net.w["W"][seen]
+        before, h = goals[-1], h[:live]
+        into, states = np.take(cell.inputs, seen, axis=1), np.empty((z - at, live, n), kind)
+        gates, rh, c = np.empty((2, live, n), kind), np.empty((live, n), kind), np.empty((live, n), kind)
         for t in range(z - at):
             if reset[t].any():
-                h = h * ~reset[t][:, None]
-            h = _step(h, into[t], net.w, n)[-1]
-            states[t] = h
-        logit = states.reshape(-1, n) @ net.w["O"] + net.w["bo"]
-        top = logit.max(1)
-        value = logit[np.arange(goals.size), goals.reshape(-1)] - top
-        np.subtract(logit, top[:, None], out=logit)
-        value = value - np.log(np.exp(logit, out=logit).sum(1))
-        real = (np.arange(at, z)[:, None] < size[:live][None, :]).reshape(-1)
-        out += np.bincount(owner[place].reshape(-1)[real], value[real].astype(np.float64), len(docs))
-    return out
+                h = np.where(reset[t][:, None], kind.type(0), h)
+            cell.step(h, into[:, t], gates, rh, c, states[t])
+            h = states[t]
+        logit = cell.logits(states.reshape(-1, n))[1]
+        value = logit[np.arange(goals.size), goals.reshape(-1)]
+        got[place.reshape(-1)] = value - np.log(np.exp(logit, out=logit) @ cell.ones)
+        at = z
+    return np.bincount(owner, got, len(docs))
 
 
 def _ending_stats(bits: DataFrame) -> DataFrame:
@@ -346,7 +414,7 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
 
     def send(key, table):
         w = C.words(table.column("text"), lower=True)
-        h, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
+        h, place, first = _distinct(w)
         train = np.repeat(table.column("is_train").to_numpy(), w.lens)
         count = np.bincount(place, train, len(h)).astype("<u4")
         kind = _endings(w)[first].astype("<u2")
@@ -411,8 +479,9 @@ def score(docs: DataFrame, is_train: Column, id_col: str = "doc_id", text_col: s
     def rate(table, right):
         net = held.value
         w = C.words(table.column("text"), lower=True)
-        h, place = np.unique(w.hash, return_inverse=True)
-        count, kind = X.read_answer(right, 0, h, None, n, counts=True)[place], classes_of(net, w).astype(np.uint8)
+        h, place, first = _distinct(w)
+        count = X.read_answer(right, 0, h, None, n, counts=True)[place]
+        kind = classes_of(net, C.Words(w.data, w.doc_off, w.start[first], w.end[first], w.off, h)).astype(np.uint8)[place]
         top = all_tokens + 0.5 * (all_words + 1)
         per = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[w.off])
         within = np.log10((count + 0.5) / (in_tokens[kind] + 0.5 * (in_words[kind] + 1)))
